@@ -21,7 +21,7 @@ from .shared import cut
 
 BITS = 18
 MAX_ROWS = 6_000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.1, 1.0, 0.6, 0.5
+EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.1, 1.0, 20.0, 0.5
 _PUNCTUATION = T.table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), lower=True)
 
 
