@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, minhash, toxicity, warc
+from . import bpe, decontaminate, fingerprint, langid, minhash, substrings, toxicity, warc
 from .shared import table
 
 
@@ -15,6 +15,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -84,5 +88,19 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+_OP3 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)
+), m AS (SELECT h, min(doc_id) AS least FROM p GROUP BY h HAVING count(*) > 1
+), g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS x FROM (SELECT p.doc_id, p.k FROM p JOIN m ON m.h = p.h AND m.least < p.doc_id)
+), gl AS (SELECT doc_id, list(x) AS xs FROM g GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(gl.xs), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gl.xs IS NULL THEN array_to_string(d.w, ' ') ELSE array_to_string(list_filter(d.w, lambda x, i: NOT list_contains(gl.xs, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN gl USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": _OP1, "op7_fm_index": _OP7}
+    return {"op3_suffix_trees": _OP3, "op1_minhash": _OP1, "op7_fm_index": _OP7}
