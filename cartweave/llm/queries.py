@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, minhash, pii, substrings, toxicity, warc
+from . import bpe, decontaminate, fingerprint, langid, minhash, pii, pseudolikelihood, substrings, toxicity, warc
 from .shared import table
 
 
@@ -23,6 +23,10 @@ def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op4_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolikelihood.report(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
