@@ -1,0 +1 @@
+"""A Spark engine for OpenStreetMap elements: sources, row programs, sinks."""
