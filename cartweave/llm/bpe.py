@@ -16,7 +16,7 @@ import functools
 import hashlib
 import heapq
 import os
-import pickle
+import struct
 import zlib
 
 import numpy as np
@@ -70,12 +70,38 @@ def _tools(table: str, pattern: str):
     return regex.compile(pattern, regex.V0), read_ranks(table)
 
 
-def _packed(x: object) -> bytes:
-    return zlib.compress(pickle.dumps(x, 5), 1)
+def _packed(*parts: bytes) -> bytes:
+    """Byte strings, compressed together."""
+    raw = b"".join([struct.pack("<q", len(x)) + x for x in parts])
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def _unpacked(x: bytes) -> object:
-    return pickle.loads(zlib.decompress(x))
+def _unpacked(x: bytes) -> list[bytes]:
+    raw = pa.Codec("zstd").decompress(x[8:], struct.unpack_from("<q", x)[0], asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        size = struct.unpack_from("<q", raw, at)[0]
+        out.append(raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with their lowest bytes first, then the next, as these compress better apart."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _joined(words: list[bytes]) -> tuple[bytes, bytes]:
+    return _planes(np.array([len(w) for w in words], np.uint32)), b"".join(words)
+
+
+def _apart(sizes: bytes, flat: bytes) -> list[bytes]:
+    ends = np.cumsum(_from_planes(sizes), dtype=np.int64).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _ROW = "bucket int, block string, words binary, places binary, body binary"
@@ -104,14 +130,22 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
         def block():
             name, words = f"{task}-{done}", list(number)  # the same again if the task is repeated
             raw = [w.encode() for w in words]
+            flat = np.concatenate(stream)
+            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(words), np.uint32)
+            rank[often] = np.arange(len(words), dtype=np.uint32)
+            raw = [raw[x] for x in often.tolist()]
+            null = np.array([x is None for x in ids])
+            body = _packed(np.array([x or 0 for x in ids], np.int64).tobytes(), null.tobytes(), _planes(np.array(counts, np.uint32)), struct.pack("<q", len(words)), _planes(rank[flat] if len(words) else flat))
+            del flat
+            stream.clear()
+            yield _rows([(-1, name, None, None, body)])
             to = np.array([zlib.crc32(w) for w in raw], np.uint32) % np.uint32(buckets)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            body = _packed((ids, np.array(counts, np.int64), len(words), np.concatenate(stream) if stream else np.zeros(0, np.uint32)))
-            yield _rows([(-1, name, None, None, body)])
             send = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(buckets) if cuts[k] < cuts[k + 1]]
             for i in range(0, len(send), 64):
-                yield _rows([(k, name, _packed([raw[x] for x in own.tolist()]), zlib.compress(own.astype(np.uint32).tobytes(), 1), None) for k, own in send[i : i + 64]])
+                yield _rows([(k, name, _packed(*_joined([raw[x] for x in own.tolist()])), _packed(_planes(np.diff(own, prepend=0))), None) for k, own in send[i : i + 64]])
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -131,16 +165,17 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
         """Equal words are in one task here, so each distinct word is encoded once."""
         _, ranks = _tools(table, pattern)
         known: dict[bytes, np.ndarray] = {}
+        small = max(ranks.values()) < 65536
         for b in batches:
             out = []
             for bucket, block, words, places, body in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True):
                 if body is None:
                     got = []
-                    for w in _unpacked(words):
+                    for w in _apart(*_unpacked(words)):
                         if (x := known.get(w)) is None:
-                            x = known[w] = np.array(merged(w, ranks), np.uint16 if len(ranks) <= 65536 else np.uint32)
+                            x = known[w] = np.array(merged(w, ranks), np.uint32)
                         got.append(x)
-                    body, words = _packed((np.array([len(x) for x in got], np.uint8 if max(map(len, got)) < 256 else np.uint32), np.concatenate(got))), None
+                    body, words = _packed(_planes(np.array([len(x) for x in got], np.uint32)), np.concatenate(got).astype("<u4").astype("<u2" if small else "<u4").tobytes()), None
                 out.append((bucket, block, words, places, body))
             yield _rows(out)
 
@@ -151,24 +186,28 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
                 main = body
             else:
                 parts.append((places, body))
-        ids, counts, n, stream = _unpacked(main)
+        ids, null, counts, n, stream = _unpacked(main)
+        ids, counts, stream = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), _from_planes(counts), _from_planes(stream)
+        n = struct.unpack("<q", n)[0]
+        small = max(_tools(table, pattern)[1].values()) < 65536
         lengths, firsts, pool, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
         for places, body in parts:
-            own = np.frombuffer(zlib.decompress(places), np.uint32)
+            own = np.cumsum(_from_planes(_unpacked(places)[0]), dtype=np.int64)
             sizes, tokens = _unpacked(body)
-            sizes = sizes.astype(np.int64)
+            sizes = _from_planes(sizes).astype(np.int64)
+            tokens = np.frombuffer(tokens, "<u2" if small else "<u4")
             lengths[own], firsts[own] = sizes, at + np.cumsum(sizes) - sizes
             at += len(tokens)
             pool.append(tokens)
         pool = np.concatenate(pool).astype("<u4") if pool else np.zeros(0, "<u4")
-        edges = np.concatenate([[0], np.cumsum(counts)])
+        edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         out = []
         for d in range(len(ids)):
             word = stream[edges[d] : edges[d + 1]]
             size = lengths[word]
             take = np.repeat(firsts[word] - np.cumsum(size) + size, size) + np.arange(size.sum())
             out.append(pool[take].tobytes())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+        return pa.table({"doc_id": ids, "ids": pa.array(out, pa.binary())})
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, _ROW)
     # Blocks go by their name, words by their bucket.
@@ -189,7 +228,7 @@ def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
         by_id: list[bytes | None] = [None] * (int(numbers.max()) + 1)
         for i in at.tolist():
             by_id[numbers[i]] = words[i]
-        for b in batches:
+        for b in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):
             out = [None if x is None else b"".join([by_id[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, into])
 
