@@ -22,10 +22,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 BLOCK_BYTES = 12_000_000
 MAX_TABLE_BYTES = 64_000_000
 
@@ -112,23 +113,27 @@ def _rows(rows: list[tuple], types=(pa.int32(), pa.string(), pa.binary(), pa.bin
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], _NAMES)
 
 
-def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None, stable: bool = False) -> DataFrame:
     """(doc_id, ids): for each row of docs (doc_id, text) its token ids as little-endian unsigned 32-bit integers.
 
     As a library that splits by ``pattern`` and merges by the ranks in ``table`` would give, without special tokens. Null texts
     count as empty; the empty text has no ids. Rows with the same doc_id, or without one, each get their own result.
+
+    The texts are read twice, and must come in the same order each time: ``stable`` says that docs is a table as it is stored.
+    Any other frame is checkpointed first.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * tasks
 
-    def split(batches):
+    def split(batches, words_only):
+        """Rows of the words of each block, or of its sequence. A block is named by what it holds, so that both passes name it alike."""
         find, _ = _tools(table, pattern)
         number: dict[str, int] = {}
-        ids, counts, stream, size, done = [], [], [], 0, 0
-        task = TaskContext.get().partitionId()
+        ids, counts, stream, size = [], [], [], 0
 
         def block():
-            name, words = f"{task}-{done}", list(number)  # the same again if the task is repeated
+            words = list(number)
             raw = [w.encode() for w in words]
             flat = np.concatenate(stream)
             often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers for frequent words
@@ -136,10 +141,13 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
             rank[often] = np.arange(len(words), dtype=np.uint32)
             raw = [raw[x] for x in often.tolist()]
             null = np.array([x is None for x in ids])
-            body = _packed(np.array([x or 0 for x in ids], np.int64).tobytes(), null.tobytes(), _planes(np.array(counts, np.uint32)), struct.pack("<q", len(words)), _planes(rank[flat] if len(words) else flat))
-            del flat
-            stream.clear()
-            yield _rows([(-1, name, None, None, body)])
+            head = np.array([x or 0 for x in ids], np.int64).tobytes(), null.tobytes(), _planes(np.array(counts, np.uint32)), struct.pack("<q", len(words))
+            body = _planes(rank[flat] if len(words) else flat)
+            name = hashlib.sha256(b"".join([*head, body, *_joined(raw)])).hexdigest()
+            if not words_only:
+                yield _rows([(-1, name, None, None, _packed(*head, body))])
+                return
+            del flat, body
             to = np.array([zlib.crc32(w) for w in raw], np.uint32) % np.uint32(buckets)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -157,7 +165,7 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
                 if size >= BLOCK_BYTES:
                     yield from block()
                     number.clear()
-                    ids, counts, stream, size, done = [], [], [], 0, done + 1
+                    ids, counts, stream, size = [], [], [], 0
         if ids:
             yield from block()
 
@@ -180,12 +188,15 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
             yield _rows(out)
 
     def assemble(rows: pa.Table) -> pa.Table:
-        parts, main = [], None
+        parts, mains = {}, []  # equal blocks have one name: several sequences, and the same words as often
         for bucket, places, body in zip(*(rows.column(c).to_pylist() for c in ("bucket", "places", "body")), strict=True):
             if bucket < 0:
-                main = body
+                mains.append(body)
             else:
-                parts.append((places, body))
+                parts[bucket] = places, body
+        return pa.concat_tables([whole(x, parts.values()) for x in mains])
+
+    def whole(main: bytes, parts) -> pa.Table:
         ids, null, counts, n, stream = _unpacked(main)
         ids, counts, stream = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), _from_planes(counts), _from_planes(stream)
         n = struct.unpack("<q", n)[0]
@@ -209,10 +220,12 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
             out.append(pool[take].tobytes())
         return pa.table({"doc_id": ids, "ids": pa.array(out, pa.binary())})
 
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, _ROW)
-    # Blocks go by their name, words by their bucket.
-    words = cut.repartition(buckets, F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket").cast("string")))
-    return words.mapInArrow(lookup, _ROW).groupBy("block").applyInArrow(assemble, "doc_id long, ids binary")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs if stable else cut(docs)
+    # Two passes over the texts: the words go to their buckets and come back, the sequences only go to their blocks.
+    words = docs.mapInArrow(lambda b: split(b, True), _ROW).repartition(tasks, "bucket").mapInArrow(lookup, _ROW)
+    blocks = docs.mapInArrow(lambda b: split(b, False), _ROW)
+    return words.union(blocks).groupBy("block").applyInArrow(assemble, "doc_id long, ids binary")
 
 
 def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
@@ -235,7 +248,7 @@ def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
     return tokens.mapInArrow(run, schema)
 
 
-def report(docs: DataFrame, table: str, pattern: str) -> DataFrame:
+def report(docs: DataFrame, table: str, pattern: str, stable: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs, from real ids and real decoded bytes."""
-    both = decode(encode(docs, table, pattern), table)
+    both = decode(encode(docs, table, pattern, stable=stable), table)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

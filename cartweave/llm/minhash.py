@@ -11,7 +11,7 @@ on a pair at the threshold of 0.85 is missed with a probability of 3e-6 and one
 
 Large groups: equal sets are one node. In each band the most central document is compared with all others first, which joins most
 of a group; only pairs of members that are in different components after that are looked at again, in blocks of registers inside
-a task, and of these only what may reach the threshold, at its first common band, becomes a row. Nothing is capped.
+a task, small sets by short hashes, and of these only what may reach the threshold becomes a row. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .shared import components, cut
 REGISTERS, MANTISSA, PER_BAND = 320, 10, 8
 BANDS = REGISTERS // PER_BAND
 BLOCK = 1024
+SMALL = REGISTERS  #: sets of up to so many elements are compared by 32-bit hashes within a block; registers say no more of these
 _EDGES = (np.arange(REGISTERS, dtype=np.uint64) * np.uint64(2**64 // REGISTERS)).astype(np.uint64)
 _EMPTY = np.uint16(0)
 
@@ -157,31 +158,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members (key, i, j, id, root, n, regs, own) of one cell in different components that may reach the threshold."""
+def alike_small(minis: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Matrix of which small sets may reach the threshold: counts of common 32-bit hashes, with one element to spare."""
+    flat, of = np.concatenate(minis), np.repeat(np.arange(len(minis)), [len(m) for m in minis])
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(at[keep := count[at] > 1], kind="stable")
+    at, of = at[keep][order], of[keep][order]
+    at = np.cumsum(np.diff(at, prepend=-1) != 0) - 1
+    common = np.zeros((len(minis), len(minis)), np.float32)
+    for c in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        a, b = np.searchsorted(at, [c, c + 4096])
+        has = np.zeros((len(minis), 4096), np.float32)
+        has[of[a:b], at[a:b] - c] = 1
+        common += has @ has.T
+    common += 1
+    return 100 * common >= percent * (n[:, None] + n[None, :] - common)
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (key, i, j, id, root, n, regs, mini, own) of one cell in different components that may reach the threshold."""
+    threshold = percent / 100
 
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("id").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
         ids, root, n, own = (group.column(c).to_numpy() for c in ("id", "root", "n", "own"))
-        r = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        minis = [np.frombuffer(x, np.uint32) for x in group.column("mini").to_pylist()]
+        r = np.stack([np.zeros(REGISTERS, np.uint16) if x is None else np.frombuffer(x, np.uint16) for x in group.column("regs").to_pylist()])
         within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        small = np.array([len(m) > 0 for m in minis])
+        where = np.cumsum(small) - 1
+        known = alike_small([m for m in minis if len(m)], n[small], percent) if small.any() else None
         a, b, keys, here = [], [], {}, group.column("key")[0].as_py()
         of = lambda x: keys.get(x) or keys.setdefault(x, frozenset(band_keys(n[x], r[x], threshold).tolist()))
         for x in range(len(ids)):
             y = np.arange(x + 1, len(ids))
             y = y[(root[y] != root[x]) & (ids[y] != ids[x]) & (within | (own[y] != own[x]))]
+            both = small[y] & small[x]
+            z, y = y[both], y[~both]
+            if len(z):
+                z = z[known[where[x], where[z]]]
             if len(y):
                 y = y[plausible(r[x : x + 1], r[y], n[x : x + 1], n[y], threshold)]
-                y = y[[min(of(x) & of(z), default=here) == here for z in y.tolist()]] if len(y) else y  # once, not in each common band
-                a.append(np.full(len(y), ids[x]))
-                b.append(ids[y])
-        both = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+                y = y[[min(of(x) & of(k), default=here) == here for k in y.tolist()]] if len(y) else y  # once, not in each common band
+            a.append(np.full(len(z) + len(y), ids[x]))
+            b += [ids[z], ids[y]]
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
     return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _hubs(links: DataFrame) -> DataFrame:
+    """(id, root): for each linked document one that it is connected with, the same for most of a large group.
+
+    The best linked of a document and its neighbours, and the best linked of that one's. Other than for whole components, two passes do.
+    """
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
+    degree = both.groupBy("u").agg(F.count("*").alias("degree")).withColumnRenamed("u", "v")
+    own = F.struct(F.count("*").alias("degree"), (-F.col("u")).alias("v"))
+    best = both.join(degree, "v").groupBy("u").agg(F.greatest(F.max(F.struct("degree", (-F.col("v")).alias("v"))), own).alias("best")).select("u", (-F.col("best.v")).alias("hub"))
+    return best.join(best.select(F.col("u").alias("hub"), F.col("hub").alias("root")), "hub").select(F.col("u").alias("id"), "root")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -207,33 +245,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     star = bands.join(lead, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     links = cut(_confirmed(_estimated(star, nodes, threshold), sets, percent))
 
-    known = components(links)
+    known = _hubs(links)
     at = bands.where("size > 2").join(known, "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"))
     open_ = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     cells = (
-        at.join(open_, "key").join(nodes, "id")
+        at.join(open_, "key").join(nodes.withColumn("regs", F.when(F.col("n") > SMALL * percent // 100, F.col("regs"))), "id").join(sets.select("id", "mini"), "id")
         .withColumns({"blocks": n, "own": F.pmod(F.xxhash64("id"), n).cast("int")})
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")})
-        .select("key", "i", "j", "own", "id", "root", "n", "regs")
+        .select("key", "i", "j", "own", "id", "root", "n", "regs", "mini")
     )
-    rest = _across(cells, threshold).distinct()
+    rest = _across(cells, percent).distinct()
     links = links.union(_confirmed(rest, sets, percent))
 
-    edges = cut(links.union(copies.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))))
-    found = components(edges).groupBy("id").agg(F.min("root").alias("root"))
-    out = sig.select("doc_id", "n").join(found, F.col("doc_id") == F.col("id"), "left")
+    several = copies.groupBy("doc_id").agg(F.collect_set("id").alias("ids")).where("size(ids) > 1").select(F.col("doc_id").alias("a"), F.explode("ids").alias("b"))
+    roots = components(links.union(several)).groupBy("id").agg(F.min("root").alias("root"))
+    found = copies.join(roots, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "id")).alias("root"))
+    out = sig.select("doc_id", "n").join(found, "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, s): the full set of each listed document as sorted 64-bit hashes."""
+    """(id, s, mini): the full set of each listed document as sorted 64-bit hashes; of up to SMALL elements also their upper halves."""
 
     def run(batches):
         for b in batches:
-            s = pa.array([u.tobytes() for u in shingle_sets(b.column("text"), k)], pa.large_binary()).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), s], ["id", "s"])
+            sets = list(shingle_sets(b.column("text"), k))
+            mini = [(u >> np.uint64(32)).astype(np.uint32).tobytes() if len(u) <= SMALL else b"" for u in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary()), pa.array(mini, pa.binary())], ["id", "s", "mini"])
 
-    return cut(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, s binary"))
+    return cut(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, s binary, mini binary"))

@@ -49,7 +49,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, stable=True)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,9 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The same rows from reliable storage; executors that are lost later don't matter."""
+    """The same rows from reliable storage; executors that are lost later don't matter.
+
+    Shuffle files of plans that are no longer needed are deleted when the driver collects its garbage, which a driver with memory
+    to spare puts off for long; so it is asked to.
+    """
     shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    out = frame.checkpoint(eager=True)
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -57,7 +65,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = state.union(state.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
         state = cut(small)

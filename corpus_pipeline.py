@@ -58,7 +58,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     bounded_batches(spark)
-    return bpe.report(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return bpe.report(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, stable=True)
 
 
 STAGES = [
