@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from .shared import cut
 
@@ -229,9 +230,8 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
 
 
 def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
-    """tokens (ids and any other columns) with the bytes that the ids stand for."""
-    from pyspark.sql import types as Y
-
+    """tokens (ids and any other columns) with the bytes that the ids stand for, null for null ids. A column of that name is replaced."""
+    tokens = tokens.drop(into)
     schema = Y.StructType([*tokens.schema.fields, Y.StructField(into, Y.BinaryType())])
 
     def run(batches):

@@ -22,7 +22,7 @@ from pyspark.sql import types as Y
 
 from . import text as T
 from .fmindex import FMIndex
-from .shared import cut
+from .shared import cut, set_apart
 
 WINDOW = 13
 BLOCK_BYTES = 32_000_000
@@ -143,32 +143,36 @@ def _searched(docs: DataFrame, windows: Windows) -> DataFrame:
 
 
 def find(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs (text and any other columns but ``found``) with ``found``: n_words, items (ids as strings, in no order), spans.
+    """docs (text and any other columns) with ``found``: n_words, items (ids as strings, in no order), spans. A column of that name is replaced.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is n consecutive words of an item; an item
     of fewer, but not none, is one window. Spans are in words, end exclusive, merged and in order. Null, empty and wordless
     texts have no words and no spans; such items, and items without id, have no windows. Without items nothing is found.
     Repeated rows stay.
     """
+    docs = docs.drop("found")
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(total / BLOCK_BYTES) or 1
-    results = []
-    for k in range(blocks):
+
+    def block(k: int) -> Windows:
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
         text = pa.concat_arrays(part.column("text").chunks) if part.num_rows else pa.array([], pa.string())
-        results.append(Windows(part.column("item_id").to_pylist(), text, n))
+        return Windows(part.column("item_id").to_pylist(), text, n)
+
     if blocks == 1:
-        return _searched(docs, results[0])
-    # Every row gets a number that holds, then its spans of all blocks are merged.
+        return _searched(docs, block(0))
+    # Every row gets a number that holds, then its spans of all blocks are merged. The driver holds one block at a time.
+    docs, back = set_apart(docs, "text")
     docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
     every = None
-    for w in results:
-        one = _searched(docs.select("_row", "text"), w).select("_row", "found")
+    for k in range(blocks):
+        one = cut(_searched(docs.select("_row", "text"), block(k)).select("_row", "found"))
         every = one if every is None else every.union(one)
     merged = every.groupBy("_row").agg(F.max("found.n_words").alias("n"), F.flatten(F.collect_list("found.items")).alias("items"), F.sort_array(F.flatten(F.collect_list("found.spans"))).alias("spans"))
     struct = F.struct("n", F.array_distinct("items"), merged_spans(F.col("spans"))).cast(FOUND)
-    return docs.join(merged.select("_row", struct.alias("found")), "_row").drop("_row")
+    joined = docs.join(merged.select("_row", struct.alias("found")), "_row")
+    return back(joined, "found")
 
 
 def merged_spans(sorted_spans: Column) -> Column:
@@ -199,7 +203,10 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_spans(docs: DataFrame) -> DataFrame:
-    """Result of ``find`` with the words of each span, and what stands between them, taken out of ``text``; others as they are."""
+    """Result of ``find`` with the words of each span, and what stands between them, taken out of ``text``; others as they are.
+
+    The column ``found`` goes. Null texts stay null.
+    """
     schema = Y.StructType([f for f in docs.schema.fields if f.name != "found"])
 
     def run(batches):

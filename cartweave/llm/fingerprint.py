@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from . import text as T
 
@@ -101,9 +102,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprints(docs: DataFrame, column: str = "fingerprint") -> DataFrame:
-    """docs (text and any other columns) with the fingerprint of each text; null counts as empty, of which it is ''."""
-    from pyspark.sql import types as Y
+    """docs (text and any other columns) with the fingerprint of each text; null counts as empty, of which it is ''.
 
+    A column of that name is replaced.
+    """
+    docs = docs.drop(column)
     schema = Y.StructType([*docs.schema.fields, Y.StructField(column, Y.StringType())])
 
     def run(batches):

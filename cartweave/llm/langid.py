@@ -118,10 +118,10 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
     """docs (text and any other columns) with ``lang_pred`` and ``lang_score``.
 
-    Null texts, texts without letters, and all texts if nothing has been learnt, are ``und`` with score 0. The score is 1 less the
+    Columns of these names are replaced. Null texts, texts without letters, and all texts if nothing has been learnt, are ``und`` with score 0. The score is 1 less the
     least distance as a share of the next language's, or of the greatest possible distance if there is one language.
     """
-    names = list(profiles)
+    names, docs = list(profiles), docs.drop("lang_pred", "lang_score")
     schema = Y.StructType([*docs.schema.fields, Y.StructField("lang_pred", Y.StringType()), Y.StructField("lang_score", Y.DoubleType())])
     known = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.int64)]))
     places = np.full((len(names), len(known) + 1), -1, np.int64)

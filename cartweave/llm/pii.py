@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, set_apart
 
 KINDS = ("email", "ip", "card", "phone", "context")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -164,5 +164,6 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
     text = F.aggregate("_spans", F.expr("named_struct('at', 0, 'out', '')"), add, lambda a: F.concat(a["out"], _call("substring", F.col("text"), a["at"] + 1)))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mark")), "left")
-    return joined.select(*(F.when(F.col("_spans").isNull(), docs["text"]).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    own, back = set_apart(docs, "doc_id", "text")
+    joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mark")), "left")
+    return back(joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text)))

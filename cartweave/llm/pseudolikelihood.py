@@ -202,7 +202,8 @@ def _weighted(column: pa.ChunkedArray, w: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, own: np.ndarray, parameters: np.ndarray) -> DataFrame:
-    """docs (text and any other columns) with n_tokens and log_likelihood; a text without words has 0 of both."""
+    """docs (text and any other columns) with n_tokens and log_likelihood, in place of columns of these names; a text without words has 0 of both."""
+    docs = docs.drop("n_tokens", "log_likelihood")
     schema = Y.StructType([*docs.schema.fields, Y.StructField("n_tokens", Y.LongType()), Y.StructField("log_likelihood", Y.DoubleType())])
 
     def run(batches):

@@ -110,5 +110,15 @@ FROM d LEFT JOIN gl USING (doc_id)
 """
 
 
+_OP6 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON p.html = f.html
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_trees": _OP3, "op1_minhash": _OP1, "op7_fm_index": _OP7}
+    return {"op1_minhash": _OP1, "op3_suffix_trees": _OP3, "op6_warc": _OP6, "op7_fm_index": _OP7}

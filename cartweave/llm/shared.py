@@ -5,8 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,6 +50,25 @@ def cut(frame: DataFrame) -> DataFrame:
     return out
 
 
+def named(c: str) -> Column:
+    """The column of just this name, whatever characters are in it."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def set_apart(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(docs with the columns ``own`` and all others in one, a function that gives a frame the columns of docs again, and others that are named).
+
+    Names that an operator uses for columns of its own so can't clash with those of docs.
+    """
+    columns = docs.columns
+    others = [c for c in columns if c not in own]
+    kept = [named(c) for c in own if c in columns]
+    if others:
+        kept.append(F.struct(*map(named, others)).alias("__others"))
+    back = [named(c) if c in own else F.col("__others").getField(c).alias(c) for c in columns]
+    return docs.select(*kept), lambda frame, *more: frame.select(*back, *more)
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import cut
+from .shared import cut, set_apart
 
 WINDOW, PREFIX, HOT = 50, 10, 1000
 PIECE = 1_500_000  #: words of the groups that are ordered at once
@@ -189,7 +189,11 @@ def _hot_removed(segments: DataFrame, window: int) -> DataFrame:
 
 
 def marked(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """docs (doc_id, text and any other columns) with ``gone``: all (every word is repeated) and spans, in words, some overlapping."""
+    """docs (doc_id, text and any other columns) with ``gone``: all (every word is repeated) and spans, in words, some overlapping.
+
+    A column of that name is replaced.
+    """
+    docs, back = set_apart(docs.drop("gone"), "doc_id", "text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     keys = _keys(own, window, prefix)
     groups = keys.groupBy("h", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
@@ -205,9 +209,9 @@ def marked(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataF
     sorted_ = segments.where("not hot").select("h", "doc", "sig", "at", "words").repartition(tasks, "h").sortWithinPartitions("h")
     spans = _removed(sorted_, window).union(_hot_removed(segments.where("hot"), window))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("sig", "start", "end")).alias("spans"))
-    return docs.join(spans.join(per_doc.where("copy").select("doc", "copy"), "doc", "full").withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left").select(
-        *(docs[c] for c in docs.columns), F.struct(F.coalesce("copy", F.lit(False)).alias("all"), F.col("spans")).alias("gone")
-    )
+    found = spans.join(per_doc.where("copy").select("doc", "copy"), "doc", "full").withColumnRenamed("doc", "_doc")
+    gone = F.struct(F.coalesce("copy", F.lit(False)).alias("all"), F.col("spans")).alias("gone")
+    return back(docs.join(found, F.col("doc_id") == F.col("_doc"), "left"), gone)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -215,8 +219,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window is ``window`` consecutive words; removed is each word covered by one
     whose words also start in a document with a smaller doc_id, as the input has it. Null texts have no words. Rows without
-    doc_id lose nothing and take nothing from others. Rows with the same doc_id don't count as smaller than each other.
+    doc_id lose nothing and take nothing from others. Rows with the same doc_id don't count as smaller than each other. Columns of
+    the names of the result are replaced.
     """
+    docs, back = set_apart(docs.drop("n_words", "n_removed", "kept_text"), "doc_id", "text")
     names = docs.columns
     schema = Y.StructType([*docs.schema.fields, Y.StructField("n_words", Y.LongType()), Y.StructField("n_removed", Y.LongType()), Y.StructField("kept_text", Y.StringType())])
 
@@ -242,7 +248,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     kept.append(b" ".join(words if keep.all() else [words[k] for k in np.flatnonzero(keep)]).decode())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
 
-    return marked(docs, window, prefix).mapInArrow(run, schema)
+    return back(marked(docs, window, prefix).mapInArrow(run, schema), "n_words", "n_removed", "kept_text")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -111,7 +111,11 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: i
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs (text and any other columns) with ``toxicity`` from 0 to 1; null texts count as empty and get what the bias says."""
+    """docs (text and any other columns) with ``toxicity`` from 0 to 1; null texts count as empty and get what the bias says.
+
+    A column of that name is replaced.
+    """
+    docs = docs.drop("toxicity")
     schema = Y.StructType([*docs.schema.fields, Y.StructField("toxicity", Y.DoubleType())])
 
     def run(batches):

@@ -1,7 +1,11 @@
 """Documents to training tokens: language, near duplicates, benchmark passages, personal data, byte-level BPE.
 
 A stage is a function of (spark, docs, sf_dir) that gets all that the stage before has kept. Each result is written as Parquet in the folder
-that the cluster shares, and read again for the next stage.
+that the cluster shares, and read again for the next stage. Of docs a stage needs doc_id, text and lang; n_chars is kept right where
+there is one, and any other columns pass, whatever their names.
+
+Empty tables stay empty. A null text has no language, so it goes in the first stage, as do empty texts and those without a letter.
+Of repeated rows one stays.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cartweave.llm import bpe, decontaminate, langid, minhash, pii
 from cartweave.llm.queries import TOKENIZER
-from cartweave.llm.shared import bounded_batches, fresh_dir, table
+from cartweave.llm.shared import bounded_batches, fresh_dir, set_apart, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -23,9 +27,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language: null, or without a letter. The language found replaces a missing one."""
     bounded_batches(spark)
+    docs, back = set_apart(docs, "doc_id", "text", "lang")
     profiles = langid.learn(docs.where(~langid.held_out()))
     found = langid.predict(docs, profiles).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else found[c] for c in docs.columns))
+    return back(found.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +40,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     bounded_batches(spark)
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).transform(_without_repeated_rows)
-
-
-def _without_repeated_rows(docs: DataFrame) -> DataFrame:
-    named = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return named.union(docs.where("doc_id is null"))
+    docs, back = set_apart(docs, "doc_id", "text")
+    stay = docs.join(gone, "doc_id", "left_anti")
+    named = stay.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    return back(named).union(back(stay.where("doc_id is null")))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; of others the passages that a benchmark item has are cut out."""
     bounded_batches(spark)
+    docs, back = set_apart(docs, "doc_id", "text", "n_chars")
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    return _counted(decontaminate.without_spans(found.where(~decontaminate.is_contaminated())))
+    return back(_counted(decontaminate.without_spans(found.where(~decontaminate.is_contaminated()))))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
