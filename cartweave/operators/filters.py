@@ -26,7 +26,7 @@ def compile_filter(text: str, decode_escapes: bool = False) -> Filter:
         long = sum(1 for _ in osmfilter.walk(program.body)) > LONG_PROGRAM
         return lambda elements: (osmfilter.apply_by_rows if long else osmfilter.apply)(program, elements)
     try:
-        condition = cel.compile_expression(text)
+        condition = cel.compile_condition(text)
     except FilterSyntaxError as e:
         raise FilterSyntaxError(f"neither an OSMFilter program ({first}) nor a CEL expression ({e})") from e
     return lambda elements: elements.where(condition)

@@ -573,13 +573,18 @@ _PARTS = {
 _LENGTHS = {"getHours": 3_600_000_000, "getMinutes": 60_000_000, "getSeconds": 1_000_000, "getMilliseconds": 1_000}
 
 
-def compile_expression(text: str) -> Column:
-    """A condition that is true where the expression is true, and false where it is false, an error, or null."""
+def compile_condition(text: str) -> Column:
+    """Whether the expression is true; NULL where it is an error or null. For ``where``, which drops both, and can give it to scans."""
     value = Compiler().compile(parse(text))
     if value.type != "bool":
         raise FilterSyntaxError(f"CEL: the expression gives {value.type}, not bool")
-    return F.coalesce(value.column, F.lit(False))
+    return value.column
+
+
+def compile_expression(text: str) -> Column:
+    """A column that is true where the expression is true, and false where it is false, an error, or null."""
+    return F.coalesce(compile_condition(text), F.lit(False))
 
 
 def apply(text: str, elements: DataFrame) -> DataFrame:
-    return elements.where(compile_expression(text))
+    return elements.where(compile_condition(text))

@@ -21,6 +21,7 @@ from cartweave.functions import tags as G
 
 LANGUAGE_VERSION = "0.2.0"
 CONTINUE, COMMITTED, DROPPED = 0, 1, 2
+SHORT = 256  #: a program of selectors that needs up to so many tests as one condition becomes one
 
 
 @dataclass(frozen=True)
@@ -289,6 +290,26 @@ def _decision(body: Sequence) -> Column:
     return F.coalesce(*parts) if parts else F.lit(None).cast("int")
 
 
+def _kept(body: tuple, limit: int) -> Column | bool | None:
+    """The same as a condition of selectors alone, of which scans can use parts; None if it would be longer than the limit."""
+    if not body:
+        return True
+    first, rest = body[0], body[1:]
+    if isinstance(first, Commit | Drop):
+        return isinstance(first, Commit)
+    if limit <= 0:
+        return None
+    yes, no = _kept((*first.body, *rest), limit // 2), _kept(rest, limit // 2)
+    if yes is None or no is None:
+        return None
+    if isinstance(yes, bool) and isinstance(no, bool) and yes == no:
+        return yes
+    test = _on_tags(first.selector)
+    some = lambda own, other: own & other if not isinstance(other, bool) else own if other else None
+    parts = [p for p in (some(test, yes), some(~test, no)) if p is not None]
+    return parts[0] if len(parts) == 1 else parts[0] | parts[1]
+
+
 def _on_tags(s) -> Column:
     if isinstance(s, TypeIs):
         return F.col("type").isin(*s.types)
@@ -301,7 +322,10 @@ def apply(program: Program, elements: DataFrame) -> DataFrame:
     if all(isinstance(s, Block | Commit | Drop) for s in walk(body)):
         if not any(isinstance(s, Drop) for s in walk(body)):
             return elements
-        return elements.where(F.coalesce(_decision(body), F.lit(COMMITTED)) != DROPPED)
+        kept = _kept(body, SHORT)
+        if kept is None:
+            return elements.where(F.coalesce(_decision(body), F.lit(COMMITTED)) != DROPPED)
+        return elements.where(kept if isinstance(kept, Column) else F.lit(kept))
     return _chain(body, elements)
 
 

@@ -156,8 +156,20 @@ def test_long_programs(elements, n):
 def test_selection_reaches_the_scan(spark, elements, tmp_path):
     """A program without modifiers is one condition, which scans get."""
     elements.write.parquet(f"{tmp_path}/e")
-    out = apply_filters(spark.read.parquet(f"{tmp_path}/e"), [HEAD + "TYPE way\n\tDROP\n"])
-    assert "rand" not in out._jdf.queryExecution().optimizedPlan().toString()
-    out = apply_filters(spark.read.parquet(f"{tmp_path}/e"), ["id > 100 && type == 'way'"])
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PushedFilters: \[.*GreaterThan\(id,100\)", plan)
+    pushed = lambda text: re.search(r"PushedFilters: \[([^\]]*\]?[^\]]*)\]", apply_filters(spark.read.parquet(f"{tmp_path}/e"), [text])._jdf.queryExecution().executedPlan().toString())[1]
+    assert "Not(EqualTo(type,way))" in pushed(HEAD + "TYPE way\n\tDROP\n")
+    assert "In(type, [node,way" in pushed(HEAD + 'TYPE node, way\n\tHAS "a"\n\t\tCOMMIT\nDROP\n')
+    assert "GreaterThan(id,100)" in pushed("id > 100 && type == 'way'")
+
+
+decisions = st.recursive(st.sampled_from([O.Commit(), O.Drop()]), lambda inner: st.builds(O.Block, selectors, st.lists(inner, min_size=1, max_size=3).map(tuple)), max_leaves=8)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(decisions, min_size=1, max_size=5).map(tuple), st.sampled_from([0, 1, 256]))
+def test_selections_as_one_condition(elements, body, limit):
+    want = {r["id"] for r in elements.collect() if O.evaluate(O.Program("0.2.0", body), r["type"], r["tags"])[0]}
+    kept = O._kept(O.reachable(body), limit)
+    if kept is not None:
+        assert {r["id"] for r in (elements.where(kept) if not isinstance(kept, bool) else elements if kept else elements.limit(0)).collect()} == want
+    assert set(result(O.apply(O.Program("0.2.0", body), elements))) == want
