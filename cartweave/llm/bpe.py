@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
-from .shared import cut
+from .shared import cut, set_apart
 
 BLOCK_BYTES = 12_000_000
 MAX_TABLE_BYTES = 64_000_000
@@ -231,7 +231,7 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
 
 def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
     """tokens (ids and any other columns) with the bytes that the ids stand for, null for null ids. A column of that name is replaced."""
-    tokens = tokens.drop(into)
+    tokens, back = set_apart(tokens.drop(into), "ids")
     schema = Y.StructType([*tokens.schema.fields, Y.StructField(into, Y.BinaryType())])
 
     def run(batches):
@@ -245,7 +245,7 @@ def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
             out = [None if x is None else b"".join([by_id[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, into])
 
-    return tokens.mapInArrow(run, schema)
+    return back(tokens.mapInArrow(run, schema), into)
 
 
 def report(docs: DataFrame, table: str, pattern: str, stable: bool = False) -> DataFrame:

@@ -121,6 +121,7 @@ class Shard:
 
 def _searched(docs: DataFrame, windows: Windows) -> DataFrame:
     """docs with a column ``found``; tasks get the windows with the function, which is at most a block of items."""
+    docs, back = set_apart(docs, "text")
     schema = Y.StructType([*docs.schema.fields, Y.StructField("found", Y._parse_datatype_string(FOUND))])
 
     def run(batches):
@@ -139,7 +140,7 @@ def _searched(docs: DataFrame, windows: Windows) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, found.slice(at, b.num_rows)], [*b.schema.names, "found"])
             at += b.num_rows
 
-    return docs.mapInArrow(run, schema)
+    return back(docs.mapInArrow(run, schema), "found")
 
 
 def find(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -207,7 +208,9 @@ def without_spans(docs: DataFrame) -> DataFrame:
 
     The column ``found`` goes. Null texts stay null.
     """
-    schema = Y.StructType([f for f in docs.schema.fields if f.name != "found"])
+    own, _ = set_apart(docs, "text", "found")
+    rest, back = set_apart(docs.drop("found"), "text")
+    schema = rest.schema
 
     def run(batches):
         for b in batches:
@@ -219,7 +222,6 @@ def without_spans(docs: DataFrame) -> DataFrame:
                 for s in spans[int(i)].as_py():
                     keep[w.start[s["start"]] : w.end[s["end"] - 1]] = False
                 text[i] = raw[keep].tobytes().decode()
-            names = [f.name for f in schema.fields]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in schema.names], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return back(own.mapInArrow(run, schema))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
+from .shared import set_apart
 
 LEAST, NORMAL, MOST = 12, 40, 160
 HARD, EASY = np.uint32(0xFC000000), np.uint32(0xF0000000)
@@ -106,7 +107,7 @@ def fingerprints(docs: DataFrame, column: str = "fingerprint") -> DataFrame:
 
     A column of that name is replaced.
     """
-    docs = docs.drop(column)
+    docs, back = set_apart(docs.drop(column), "text")
     schema = Y.StructType([*docs.schema.fields, Y.StructField(column, Y.StringType())])
 
     def run(batches):
@@ -114,7 +115,7 @@ def fingerprints(docs: DataFrame, column: str = "fingerprint") -> DataFrame:
             out = [written(x) for _, _, data, offsets in T.chunks(b.column("text")) for x in chunk_sets(data, offsets)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return back(docs.mapInArrow(run, schema), column)
 
 
 def report(docs: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
-from .shared import cut
+from .shared import cut, set_apart
 
 PROFILE = 400
 #: Profiles are sent to every task; this bounds them. The world has some 7,000 languages.
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
     Columns of these names are replaced. Null texts, texts without letters, and all texts if nothing has been learnt, are ``und`` with score 0. The score is 1 less the
     least distance as a share of the next language's, or of the greatest possible distance if there is one language.
     """
-    names, docs = list(profiles), docs.drop("lang_pred", "lang_score")
+    names, (docs, back) = list(profiles), set_apart(docs.drop("lang_pred", "lang_score"), "text")
     schema = Y.StructType([*docs.schema.fields, Y.StructField("lang_pred", Y.StringType()), Y.StructField("lang_score", Y.DoubleType())])
     known = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.int64)]))
     places = np.full((len(names), len(known) + 1), -1, np.int64)
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
                 scores += score
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, schema)
+    return back(docs.mapInArrow(run, schema), "lang_pred", "lang_score")
 
 
 def held_out() -> Column:

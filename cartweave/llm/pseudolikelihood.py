@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
+from .shared import set_apart
+
 HALF = 64
 SIZE = HALF * HALF
 SHARED = 1024
@@ -203,7 +205,7 @@ def _weighted(column: pa.ChunkedArray, w: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, own: np.ndarray, parameters: np.ndarray) -> DataFrame:
     """docs (text and any other columns) with n_tokens and log_likelihood, in place of columns of these names; a text without words has 0 of both."""
-    docs = docs.drop("n_tokens", "log_likelihood")
+    docs, back = set_apart(docs.drop("n_tokens", "log_likelihood"), "text")
     schema = Y.StructType([*docs.schema.fields, Y.StructField("n_tokens", Y.LongType()), Y.StructField("log_likelihood", Y.DoubleType())])
 
     def run(batches):
@@ -217,7 +219,7 @@ def score(docs: DataFrame, own: np.ndarray, parameters: np.ndarray) -> DataFrame
                     total[i:j] = np.bincount(np.repeat(np.arange(j - i), np.diff(first)), p, j - i)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(total)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return back(docs.mapInArrow(run, schema), "n_tokens", "log_likelihood")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import cut
+from .shared import cut, set_apart
 
 BITS = 18
 MAX_ROWS = 6_000
@@ -115,7 +115,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     A column of that name is replaced.
     """
-    docs = docs.drop("toxicity")
+    docs, back = set_apart(docs.drop("toxicity"), "text")
     schema = Y.StructType([*docs.schema.fields, Y.StructField("toxicity", Y.DoubleType())])
 
     def run(batches):
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 out.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out))], [*b.schema.names, "toxicity"])
 
-    return docs.mapInArrow(run, schema)
+    return back(docs.mapInArrow(run, schema), "toxicity")
 
 
 def held_out() -> Column:

@@ -22,7 +22,7 @@ def ends(text):
     for i, b in enumerate(data):
         h = ((h << 1) + int(fp._GEAR[b])) & 0xFFFFFFFF
         size = i + 1 - start
-        mask = fp.HARD if size <= fp.NORMAL else fp.EASY
+        mask = fp.HARD if size < fp.NORMAL else fp.EASY
         if i + 1 < len(data) and size >= fp.LEAST and (h & int(mask) == 0 or size == fp.MOST) or i + 1 == len(data):
             out.append(i + 1)
             start = i + 1
