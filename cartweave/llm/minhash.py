@@ -10,8 +10,13 @@ Documents whose sets are small are banded by size class with 1.5 times as many b
 on a pair at the threshold of 0.85 is missed with a probability of 3e-6 and one at 0.9 of 2e-10.
 
 Large groups: equal sets are one node. In each band the most central document is compared with all others first, which joins most
-of a group; only pairs of members that are in different components after that are looked at again, in blocks of registers inside
-a task, small sets by short hashes, and of these only what may reach the threshold becomes a row. Nothing is capped.
+of a group; only pairs of members that are in different components after that are looked at again, in blocks inside a task, and of
+these only what may reach the threshold becomes a row. Nothing is capped.
+
+What moves: a node has a body, which is its whole set if that has at most ``SMALL`` elements, else its registers. Pairs of small sets
+are confirmed where bodies meet; of larger sets only those are made, in a second pass over the texts, that have a plausible pair.
+Sets are kept as 48 bits of each hash, as differences, which are exact enough: two sets of 20,000 have one false common element
+with a probability of one in 700,000.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ from .shared import components, cut
 REGISTERS, MANTISSA, PER_BAND = 320, 10, 8
 BANDS = REGISTERS // PER_BAND
 BLOCK = 1024
-SMALL = REGISTERS  #: sets of up to so many elements are compared by 32-bit hashes within a block; registers say no more of these
+SMALL = 256  #: sets of up to so many elements are the bodies of their nodes; registers would hardly be shorter and say less
+MASK = np.uint64(2**64 - 2**16)
 _EDGES = (np.arange(REGISTERS, dtype=np.uint64) * np.uint64(2**64 // REGISTERS)).astype(np.uint64)
 _EMPTY = np.uint16(0)
 
@@ -52,6 +58,7 @@ def shingle_sets(column: pa.Array, k: int):
 def registers(u: np.ndarray) -> np.ndarray:
     """Of sorted distinct hashes: for each bucket 0 if it is empty, else (leading zeros + 1) << MANTISSA | mantissa bits."""
     out = np.zeros(REGISTERS, np.uint16)
+    u = u & MASK
     if len(u):
         at = np.searchsorted(u, _EDGES)
         got = np.flatnonzero(np.diff(at, append=len(u)))
@@ -91,20 +98,37 @@ def plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, thresh
     return sizes & (jaccard >= threshold - 5.5 * np.sqrt(threshold * (1 - threshold) / filled) - 1 / filled)
 
 
+def packed(u: np.ndarray) -> bytes:
+    """Sorted hashes as 48-bit differences, in planes of bytes: those of the high bytes are nearly all zeros."""
+    d = np.diff(u >> np.uint64(16), prepend=np.uint64(0)).astype("<u8")
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes(), asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The n hashes, of which the low 16 bits are zeros."""
+    d = np.zeros((n, 8), np.uint8)
+    d[:, :6] = np.frombuffer(pa.Codec("zstd").decompress(raw, 6 * n), np.uint8).reshape(6, n).T
+    return np.cumsum(d.view("<u8").reshape(-1).astype(np.uint64)) << np.uint64(16)
+
+
+def body_registers(body: bytes, n: int) -> np.ndarray:
+    return registers(unpacked(body, n)) if n <= SMALL else np.frombuffer(body, np.uint16)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, regs): size, 128-bit digest and registers of each document's set."""
+    """(doc_id, n, d1, d2, body): size, 128-bit digest and body of each document's set."""
 
     def run(batches):
         for b in batches:
-            n, d1, d2, regs = [], [], [], []
+            n, d1, d2, body = [], [], [], []
             for u in shingle_sets(b.column("text"), k):
                 n.append(len(u))
                 d1.append(int(u.sum().view(np.int64)))
                 d2.append(int(T.mix(u ^ np.uint64(0x5BD1E9955BD1E995)).sum().view(np.int64)))
-                regs.append(registers(u).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "d1", "d2", "regs"])
+                body.append(packed(u) if len(u) <= SMALL else registers(u).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "n", "d1", "d2", "body"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, body binary")
 
 
 def band_keys(n: int, r: np.ndarray, threshold: float) -> np.ndarray:
@@ -121,41 +145,60 @@ def _bands(nodes: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                keys = [band_keys(n, np.frombuffer(raw, np.uint16), threshold) for n, raw in zip(b.column("n").to_pylist(), b.column("regs").to_pylist(), strict=True)]
+                keys = [band_keys(n, body_registers(raw, n), threshold) for n, raw in zip(b.column("n").to_pylist(), b.column("body").to_pylist(), strict=True)]
                 of = np.repeat(b.column("id").to_numpy(), [len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(of)], ["key", "id"])
 
-    return nodes.select("id", "n", "regs").mapInArrow(run, "key long, id long")
+    return nodes.select("id", "n", "body").mapInArrow(run, "key long, id long")
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose registers may reach the threshold."""
+def alike(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union"""
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(u) + len(v) - common)
 
-    def run(batches):
-        for t in batches:
-            if t.num_rows:
-                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-                ok = plausible(x, y, t.column("na").to_numpy(), t.column("nb").to_numpy(), threshold)
-                yield t.select(["a", "b"]).filter(pa.array(ok))
-
-    a, b = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
+def _judged(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, sure): pairs of small sets that reach the threshold (sure), and others whose registers may."""
+    threshold = percent / 100
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
+    def run(batches):
+        for t in batches:
+            na, nb, xs, ys = (t.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))
+            sure, ok, rest = np.zeros(len(na), bool), np.zeros(len(na), bool), []
+            for i, (n, m, x, y) in enumerate(zip(na, nb, xs, ys, strict=True)):
+                if 100 * min(n, m) < percent * max(n, m):
+                    continue
+                if max(n, m) <= SMALL:
+                    ok[i] = sure[i] = alike(unpacked(x, n), unpacked(y, m), percent)
+                else:
+                    rest.append(i)
+            if rest:
+                a, b = (np.stack([body_registers(v[i], k[i]) for i in rest]) for v, k in ((xs, na), (ys, nb)))
+                ok[rest] = plausible(a, b, np.array(na)[rest], np.array(nb)[rest], threshold)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(sure)], ["a", "b", "sure"]).filter(pa.array(ok))
+
+    a, b = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("body").alias(f"x{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def _confirmed(judged: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``_judged`` that reach the threshold on full sets."""
 
     def run(batches):
         for t in batches:
-            ok = []
-            for x, y in zip(t.column("sa"), t.column("sb"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * both >= percent * (len(u) + len(v) - both))
+            columns = (t.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))
+            ok = [alike(unpacked(x, n), unpacked(y, m), percent) for n, m, x, y in zip(*columns, strict=True)]
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    a, b = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    judged = cut(judged)
+    pairs = judged.where("not sure").select("a", "b")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
+    a, b = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
+    large = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return cut(judged.where("sure").select("a", "b").union(large))
 
 
 def alike_small(minis: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
@@ -176,19 +219,19 @@ def alike_small(minis: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndar
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (key, i, j, id, root, n, regs, mini, own) of one cell in different components that may reach the threshold."""
+    """Pairs (a, b) of members (key, i, j, id, root, n, body, own) of one cell in different components that may reach the threshold."""
     threshold = percent / 100
 
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("id").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
         ids, root, n, own = (group.column(c).to_numpy() for c in ("id", "root", "n", "own"))
-        minis = [np.frombuffer(x, np.uint32) for x in group.column("mini").to_pylist()]
-        r = np.stack([np.zeros(REGISTERS, np.uint16) if x is None else np.frombuffer(x, np.uint16) for x in group.column("regs").to_pylist()])
+        bodies, small = group.column("body").to_pylist(), n <= SMALL
+        r = np.stack([body_registers(x, k) for x, k in zip(bodies, n.tolist(), strict=True)])
         within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        small = np.array([len(m) > 0 for m in minis])
         where = np.cumsum(small) - 1
-        known = alike_small([m for m in minis if len(m)], n[small], percent) if small.any() else None
+        minis = [(unpacked(bodies[x], int(n[x])) >> np.uint64(32)).astype(np.uint32) for x in np.flatnonzero(small)]
+        known = alike_small(minis, n[small], percent) if minis else None
         a, b, keys, here = [], [], {}, group.column("key")[0].as_py()
         of = lambda x: keys.get(x) or keys.setdefault(x, frozenset(band_keys(n[x], r[x], threshold).tolist()))
         for x in range(len(ids)):
@@ -230,34 +273,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
     sig = cut(signatures(docs, k))
+    # One body for each distinct set, summed on the map side.
+    known = sig.where(F.col("doc_id").isNotNull() & (F.col("n") * (100 - percent) >= percent))
+    nodes = cut(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("body").alias("body")).select("id", "n", "body"))
+    sig = cut(sig.select("doc_id", "n", "d1", "d2"))  # without the bodies
     live = sig.where("n > 0 and doc_id is not null")
-    same = live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    copies = live.select("doc_id", "n", "d1", "d2").join(same, ["n", "d1", "d2"]).select("doc_id", "id")
-    nodes = live.where(F.col("n") * (100 - percent) >= percent).join(same.select("id", "n", "d1", "d2").withColumnRenamed("id", "doc_id"), ["doc_id", "n", "d1", "d2"], "left_semi")
-    nodes = nodes.select(F.col("doc_id").alias("id"), "n", "regs").dropDuplicates(["id", "n"])
+    copies = live.join(live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")), ["n", "d1", "d2"]).select("doc_id", "id")
+
     bands = _bands(nodes, threshold)
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     bands = cut(bands.join(shared, "key"))
-    sets = _sets_of(docs, bands.select("id").distinct(), k)
-
     central = bands.groupBy("id").agg(F.sum("size").alias("weight"))
     lead = bands.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("lead")).select("key", (-F.col("lead.id")).alias("lead"))
     star = bands.join(lead, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    links = cut(_confirmed(_estimated(star, nodes, threshold), sets, percent))
+    links = _confirmed(_judged(star, nodes, percent), docs, k, percent)
 
-    known = _hubs(links)
-    at = bands.where("size > 2").join(known, "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"))
+    roots = _hubs(links)
+    at = bands.where("size > 2").join(roots, "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"))
     open_ = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     cells = (
-        at.join(open_, "key").join(nodes.withColumn("regs", F.when(F.col("n") > SMALL * percent // 100, F.col("regs"))), "id").join(sets.select("id", "mini"), "id")
+        at.join(open_, "key").join(nodes, "id")
         .withColumns({"blocks": n, "own": F.pmod(F.xxhash64("id"), n).cast("int")})
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")})
-        .select("key", "i", "j", "own", "id", "root", "n", "regs", "mini")
+        .select("key", "i", "j", "own", "id", "root", "n", "body")
     )
     rest = _across(cells, percent).distinct()
-    links = links.union(_confirmed(rest, sets, percent))
+    links = links.union(_confirmed(_judged(rest, nodes, percent), docs, k, percent))
 
     several = copies.groupBy("doc_id").agg(F.collect_set("id").alias("ids")).where("size(ids) > 1").select(F.col("doc_id").alias("a"), F.explode("ids").alias("b"))
     roots = components(links.union(several)).groupBy("id").agg(F.min("root").alias("root"))
@@ -267,13 +310,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+MARKS, SLICE = 1 << 27, 1 << 19  #: bits of the marks, and of each part of them
+
+
+def _marks(ids: DataFrame) -> list[tuple[int, bytes]]:
+    """A bit of ``MARKS`` for each id: 16 MB at most, however many ids there are, and compressed."""
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = b.column("bit").to_numpy()
+            for s in np.unique(bit // SLICE).tolist():
+                parts.setdefault(s, np.zeros(SLICE, bool))[bit[bit // SLICE == s] % SLICE] = True
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([pa.Codec("zstd").compress(np.packbits(x).tobytes(), asbytes=True) for x in parts.values()], pa.binary())], ["slice", "bits"])
+
+    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("bit")).distinct()
+    rows = bits.withColumn("slice", F.floor(F.col("bit") / SLICE)).repartition("slice").select("bit").mapInArrow(run, "slice long, bits binary").toArrow()
+    return list(zip(rows.column("slice").to_pylist(), rows.column("bits").to_pylist(), strict=True))
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, s, mini): the full set of each listed document as sorted 64-bit hashes; of up to SMALL elements also their upper halves."""
+    """(id, n, s): the full set of each listed document, packed.
+
+    Texts stay where they are: sets are made of those documents that have a mark, which are the listed and some few that share a
+    mark with one, and only sets are shuffled. Where ids are so many that most marks are set, sets of other documents move too.
+    """
+    marks = _marks(ids)
 
     def run(batches):
+        marked = np.zeros(MARKS // 8, np.uint8)
+        for s, raw in marks:
+            marked[s * SLICE // 8 : (s + 1) * SLICE // 8] = np.frombuffer(pa.Codec("zstd").decompress(raw, SLICE // 8), np.uint8)
         for b in batches:
+            bit = b.column("bit").to_numpy()
+            b = b.filter(pa.array(marked[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 == 1))
             sets = list(shingle_sets(b.column("text"), k))
-            mini = [(u >> np.uint64(32)).astype(np.uint32).tobytes() if len(u) <= SMALL else b"" for u in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary()), pa.array(mini, pa.binary())], ["id", "s", "mini"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([packed(u) for u in sets], pa.binary())], ["id", "n", "s"])
 
-    return cut(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, s binary, mini binary"))
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARKS)).alias("bit")
+    sets = docs.where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(run, "id long, n long, s binary")
+    return cut(sets.join(ids, "id", "left_semi"))
