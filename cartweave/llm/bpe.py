@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
-from .shared import cut, set_apart
+from .shared import cut, returning, set_apart
 
 BLOCK_BYTES = 12_000_000
 MAX_TABLE_BYTES = 64_000_000
@@ -224,8 +224,8 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs if stable else cut(docs)
     # Two passes over the texts: the words go to their buckets and come back, the sequences only go to their blocks.
-    words = docs.mapInArrow(lambda b: split(b, True), _ROW).repartition(tasks, "bucket").mapInArrow(lookup, _ROW)
-    blocks = docs.mapInArrow(lambda b: split(b, False), _ROW)
+    words = docs.mapInArrow(returning(lambda b: split(b, True)), _ROW).repartition(tasks, "bucket").mapInArrow(returning(lookup), _ROW)
+    blocks = docs.mapInArrow(returning(lambda b: split(b, False)), _ROW)
     return words.union(blocks).groupBy("block").applyInArrow(assemble, "doc_id long, ids binary")
 
 
@@ -245,7 +245,7 @@ def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
             out = [None if x is None else b"".join([by_id[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, into])
 
-    return back(tokens.mapInArrow(run, schema), into)
+    return back(tokens.mapInArrow(returning(run), schema), into)
 
 
 def report(docs: DataFrame, table: str, pattern: str, stable: bool = False) -> DataFrame:

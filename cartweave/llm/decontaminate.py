@@ -22,7 +22,7 @@ from pyspark.sql import types as Y
 
 from . import text as T
 from .fmindex import FMIndex
-from .shared import cut, set_apart
+from .shared import cut, returning, set_apart
 
 WINDOW = 13
 BLOCK_BYTES = 32_000_000
@@ -140,7 +140,7 @@ def _searched(docs: DataFrame, windows: Windows) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, found.slice(at, b.num_rows)], [*b.schema.names, "found"])
             at += b.num_rows
 
-    return back(docs.mapInArrow(run, schema), "found")
+    return back(docs.mapInArrow(returning(run), schema), "found")
 
 
 def find(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -224,4 +224,4 @@ def without_spans(docs: DataFrame) -> DataFrame:
                 text[i] = raw[keep].tobytes().decode()
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in schema.names], schema.names)
 
-    return back(own.mapInArrow(run, schema))
+    return back(own.mapInArrow(returning(run), schema))

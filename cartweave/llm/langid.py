@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
-from .shared import cut, set_apart
+from .shared import cut, returning, set_apart
 
 PROFILE = 400
 #: Profiles are sent to every task; this bounds them. The world has some 7,000 languages.
@@ -80,7 +80,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             langs, texts = np.array(b.column("lang").to_pylist(), object), b.column("text").to_pylist()
-            for i, j in _parts(texts, 10 * CHUNK):
+            for i, j in _parts(texts, 2 * CHUNK):
                 for lang in sorted(set(langs[i:j].tolist())):
                     g, n = np.unique(grams([texts[x] for x in range(i, j) if langs[x] == lang])[0], return_counts=True)
                     if lang in total:
@@ -94,7 +94,7 @@ def counted(docs: DataFrame) -> DataFrame:
         yield from out()
 
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(returning(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
                 scores += score
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
 
-    return back(docs.mapInArrow(run, schema), "lang_pred", "lang_score")
+    return back(docs.mapInArrow(returning(run), schema), "lang_pred", "lang_score")
 
 
 def held_out() -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import components, cut
+from .shared import components, cut, returning
 
 REGISTERS, MANTISSA, PER_BAND = 320, 10, 8
 BANDS = REGISTERS // PER_BAND
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 body.append(packed(u) if len(u) <= SMALL else registers(u).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "n", "d1", "d2", "body"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, body binary")
+    return docs.select("doc_id", "text").mapInArrow(returning(run), "doc_id long, n long, d1 long, d2 long, body binary")
 
 
 def band_keys(n: int, r: np.ndarray, threshold: float) -> np.ndarray:
@@ -149,7 +149,7 @@ def _bands(nodes: DataFrame, threshold: float) -> DataFrame:
                 of = np.repeat(b.column("id").to_numpy(), [len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(of)], ["key", "id"])
 
-    return nodes.select("id", "n", "body").mapInArrow(run, "key long, id long")
+    return nodes.select("id", "n", "body").mapInArrow(returning(run), "key long, id long")
 
 
 def alike(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
@@ -181,7 +181,7 @@ def _judged(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(sure)], ["a", "b", "sure"]).filter(pa.array(ok))
 
     a, b = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("body").alias(f"x{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, sure boolean")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(returning(run), "a long, b long, sure boolean")
 
 
 def _confirmed(judged: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _confirmed(judged: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
     pairs = judged.where("not sure").select("a", "b")
     sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     a, b = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
-    large = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    large = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(returning(run), "a long, b long")
     return cut(judged.where("sure").select("a", "b").union(large))
 
 
@@ -349,5 +349,5 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([packed(u) for u in sets], pa.binary())], ["id", "n", "s"])
 
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARKS)).alias("bit")
-    sets = docs.where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(run, "id long, n long, s binary")
+    sets = docs.where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(returning(run), "id long, n long, s binary")
     return cut(sets.join(ids, "id", "left_semi"))

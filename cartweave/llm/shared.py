@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +50,26 @@ def cut(frame: DataFrame) -> DataFrame:
     return out
 
 
+def returning(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run, after which the worker gives freed memory back.
+
+    Workers live on for later stages, and Arrow and the C library would keep the most that any stage took.
+    """
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def named(c: str) -> Column:
     """The column of just this name, whatever characters are in it."""
     return F.col("`" + c.replace("`", "``") + "`")
