@@ -6,8 +6,9 @@ bands, and documents that share a band are candidates; registers then estimate t
 compressed registers have by chance, and what may reach the threshold is confirmed on full sets.
 
 Small sets: an element in one set only disturbs one band, so with more bands than such elements can be, some band is left alike.
-Documents whose sets are small are banded by size class with 1.5 times as many bands as that needs; from ``REGISTERS / 8`` bands
-on a pair at the threshold of 0.85 is missed with a probability of 3e-6 and one at 0.9 of 2e-10.
+Documents whose sets are small are banded by size class with 1.5 times as many bands as that needs. Where that would be more than
+fit, bands are of as many registers as miss a pair at the threshold with a probability of ``MISS`` at most: 8 at 0.85 (3e-6, and a
+pair at 0.9 2e-10), 6 at 0.80 (1e-7).
 
 Large groups: equal sets are one node. In each band the most central document is compared with all others first, which joins most
 of a group; only pairs of members that are in different components after that are looked at again, in blocks inside a task, and of
@@ -21,6 +22,7 @@ with a probability of one in 700,000.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -31,8 +33,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .shared import components, cut, returning
 
-REGISTERS, MANTISSA, PER_BAND = 320, 10, 8
-BANDS = REGISTERS // PER_BAND
+REGISTERS, MANTISSA, MISS = 320, 10, 4e-6
 BLOCK = 1024
 SMALL = 256  #: sets of up to so many elements are the bodies of their nodes; registers would hardly be shorter and say less
 MASK = np.uint64(2**64 - 2**16)
@@ -70,13 +71,26 @@ def registers(u: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def band_counts(threshold: float) -> tuple[int, int]:
+    """The least and the greatest number of bands.
+
+    The least keeps the chance that all common elements of a pair are in one band with an element of one set only, which is highest
+    for the smallest sets that can reach the threshold, at that of 6 bands at 0.85.
+    """
+    common = -(-100 // (100 - round(100 * threshold))) - 1
+    per_band = max((r for r in range(1, REGISTERS) if (1 - threshold**r) ** (REGISTERS // r) <= MISS), default=1)
+    return max(6, math.ceil(6 ** (6 / common))), REGISTERS // per_band
+
+
 def size_classes(n: int, threshold: float) -> list[tuple[int, int]]:
     """(class, bands) under which a set of n elements is banded: any two sizes that can reach the threshold share a class."""
+    least, most = band_counts(threshold)
     c, out = int(math.log(n) / -math.log(threshold)), []
     for label in (c, c + 1):
         apart = int((1 - threshold) * threshold ** -(label + 2))
-        bands = max(6, int(1.5 * (apart + 1)) + 1)
-        out.append((label, bands) if bands < BANDS else (9999, BANDS))
+        bands = max(least, int(1.5 * (apart + 1)) + 1)
+        out.append((label, bands) if bands < most else (9999, most))
     return list(dict.fromkeys(out))
 
 

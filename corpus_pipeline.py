@@ -36,10 +36,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, and of its repeated rows one.
 
-    Rows without doc_id all stay.
+    Near duplicates are those with a Jaccard index of 0.80 or more, and what they link. Rows without doc_id all stay.
     """
     bounded_batches(spark)
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     docs, back = set_apart(docs, "doc_id", "text")
     stay = docs.join(gone, "doc_id", "left_anti")
     named = stay.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])

@@ -68,6 +68,19 @@ def test_as_brute_force(frame, corpus):
     assert len({c for _, c in want.values()}) < len(want) - 30
 
 
+def test_lower_threshold(frame, corpus):
+    want = brute(corpus, 80)
+    assert want != brute(corpus) and result(minhash.near_duplicates(frame(corpus), percent=80)) == want
+
+
+def test_recall_of_bands():
+    """At any threshold a pair that just reaches it is as good as never missed."""
+    assert minhash.band_counts(0.85) == (6, 40) and minhash.band_counts(0.8) == (15, 53)
+    for percent in (70, 80, 85, 90, 95):
+        bands = minhash.band_counts(percent / 100)[1]
+        assert (1 - (percent / 100) ** (minhash.REGISTERS // bands)) ** bands <= minhash.MISS
+
+
 def test_large_group(frame, vocabulary, prose, monkeypatch):
     """More near copies than a block holds, some too far from the centre for a link with it, in several components."""
     r, base, rows = random.Random(3), prose(77, 120).split(), []
