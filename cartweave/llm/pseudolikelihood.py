@@ -5,8 +5,12 @@ window has its own table of embeddings; their sum is the hidden state. A token's
 from the hidden state, the second from the hidden state and the first half, so that a distribution over all numbers costs two
 small softmaxes. The score of a document is the sum of the logarithms of its tokens' conditional probabilities.
 
-Vocabulary: words are counted over all documents; the most frequent have numbers of their own, all others share ``SHARED`` numbers by
-hash. Training is distributed and sees every token of every document: each task fits its own copy to its partition in
+Vocabulary: all words of all documents, with their counts, in a table that grows with the corpus and stays distributed. The most
+frequent words have numbers of their own, all others share ``SHARED`` numbers by hash; which word of a shared number it is has the
+word's share of the number's tokens as its probability, joined at scoring. So the probabilities of all words of the corpus sum to one
+in any window. In windows, words that share a number are alike.
+
+Training is distributed and sees every token of every document: each task fits its own copy to its partition in
 numpy, from the same start, and the copies are averaged, weighted by tokens. What is gathered so grows with the corpus, what
 reaches the driver is one network.
 """
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import set_apart
+from .shared import cut, set_apart
 
 HALF = 64
 SIZE = HALF * HALF
@@ -62,10 +66,22 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame) -> np.ndarray:
     """Hashes of the most frequent words, most frequent first; of equals by hash. As many as have numbers of their own."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(SIZE - SHARED).select("word").toArrow()
+    return most_frequent(count_words(docs))
+
+
+def most_frequent(counts: DataFrame) -> np.ndarray:
+    top = counts.orderBy(F.desc("n"), "word").limit(SIZE - SHARED).select("word").toArrow()
     return top.column("word").to_numpy().astype(np.int64)
 
 
+def log_shares(counts: DataFrame, own: np.ndarray) -> DataFrame:
+    """(word, log_share) of each word without a number of its own: logarithm of its share of the tokens with its number."""
+    frequent = counts.sparkSession.createDataFrame([(w,) for w in own.tolist()], "word long")
+    others = counts.join(F.broadcast(frequent), "word", "left_anti").withColumn("number", F.shiftrightunsigned("word", 54) % SHARED)
+    total = others.groupBy("number").agg(F.sum("n").alias("total"))
+    return others.join(F.broadcast(total), "number").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
+
+
 def numbers(words: T.Words, own: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The number of each word; own: sorted hashes of frequent words, place: their numbers."""
     h = words.hash.view(np.int64)
@@ -167,7 +183,7 @@ def _tokens(batches, own: np.ndarray):
         for i, j, data, offsets in T.chunks(b.column("text")):
             w = T.words(data, offsets, T.FOLDED)
             token = numbers(w, own[order], order)
-            yield b, i, j, w.first, token
+            yield b, i, j, w, token
 
 
 def train(docs: DataFrame, own: np.ndarray) -> np.ndarray:
@@ -175,8 +191,8 @@ def train(docs: DataFrame, own: np.ndarray) -> np.ndarray:
 
     def run(batches):
         t, random = Trainer(), np.random.default_rng(3)
-        for _, _, _, first, token in _tokens(batches, own):
-            x, mixed = windows(token, first), random.permutation(len(token))
+        for _, _, _, w, token in _tokens(batches, own):
+            x, mixed = windows(token, w.first), random.permutation(len(token))
             for i in range(0, len(token), BATCH):
                 part = mixed[i : i + BATCH]
                 t.step(token[part], x[part])
@@ -203,23 +219,33 @@ def _weighted(column: pa.ChunkedArray, w: np.ndarray) -> np.ndarray:
     return ((w[:, None] * x).sum(0) / w.sum()).astype(np.float32)
 
 
-def score(docs: DataFrame, own: np.ndarray, parameters: np.ndarray) -> DataFrame:
-    """docs (text and any other columns) with n_tokens and log_likelihood, in place of columns of these names; a text without words has 0 of both."""
-    docs, back = set_apart(docs.drop("n_tokens", "log_likelihood"), "text")
-    schema = Y.StructType([*docs.schema.fields, Y.StructField("n_tokens", Y.LongType()), Y.StructField("log_likelihood", Y.DoubleType())])
+def score(docs: DataFrame, own: np.ndarray, parameters: np.ndarray, others: bool = False) -> DataFrame:
+    """docs (text and any other columns) with n_tokens and log_likelihood, in place of columns of these names; a text without words has 0 of both.
+
+    Of words that share a number this is the probability of the number; with ``others`` there is a column of that name, the hashes of
+    these words, one for each token.
+    """
+    docs, back = set_apart(docs.drop("n_tokens", "log_likelihood", *["others"] * others), "text")
+    more = [Y.StructField("others", Y.ArrayType(Y.LongType()))] * others
+    schema = Y.StructType([*docs.schema.fields, Y.StructField("n_tokens", Y.LongType()), Y.StructField("log_likelihood", Y.DoubleType()), *more])
 
     def run(batches):
         m = shaped(parameters)
         for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for _, i, j, first, token in _tokens([b], own):
-                n[i:j] = np.diff(first)
+            n, total, shared, sizes = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), [np.zeros(0, np.int64)], np.zeros(b.num_rows, np.int64)
+            for _, i, j, w, token in _tokens([b], own):
+                n[i:j] = np.diff(w.first)
                 if len(token):
-                    p = log_probabilities(m, token, windows(token, first))
-                    total[i:j] = np.bincount(np.repeat(np.arange(j - i), np.diff(first)), p, j - i)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(total)], schema.names)
+                    of = np.repeat(np.arange(j - i), n[i:j])
+                    total[i:j] = np.bincount(of, log_probabilities(m, token, windows(token, w.first)), j - i)
+                    if others:
+                        shared.append(w.hash.view(np.int64)[token >= SIZE - SHARED])
+                        sizes[i:j] = np.bincount(of[token >= SIZE - SHARED], minlength=j - i)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shared)))] * others
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(total), *lists], schema.names)
 
-    return back(docs.mapInArrow(run, schema), "n_tokens", "log_likelihood")
+    return back(docs.mapInArrow(run, schema), "n_tokens", "log_likelihood", *["others"] * others)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -228,6 +254,11 @@ def report(docs: DataFrame) -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null texts count as empty. Rows with the same doc_id, or none, stay.
     """
     docs = docs.select("doc_id", "text")
-    own = vocabulary(docs)
-    out = score(docs, own, train(docs, own))
+    counts = cut(count_words(docs))
+    own = most_frequent(counts)
+    scored = score(docs, own, train(docs, own), others=True).drop("text")
+    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
+    words = scored.select("row", F.explode("others").alias("word")).join(log_shares(counts, own), "word")
+    within = words.groupBy("row").agg(F.sum("log_share").alias("within"))
+    out = scored.drop("others").join(within, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("within", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

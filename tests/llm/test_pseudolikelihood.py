@@ -94,6 +94,27 @@ def test_sum_of_conditionals(frame, corpus):
         assert r["log_likelihood"] == pytest.approx(want, rel=1e-4, abs=1e-6)
 
 
+def test_words_that_share_a_number(frame):
+    """Each word of the corpus has its own probability, by how often it is there, however many words there are."""
+    rows = [(i, " ".join(f"common{k}" for k in range(i % 7, 3072, 7)) + " ") for i in range(28)]
+    rows += [(100 + i, " ".join(f"rare{k}" for k in range(i * 40, i * 40 + 120))) for i in range(60)]
+    docs = frame(rows)
+    counts = {r["word"]: r["n"] for r in P.count_words(docs).collect()}
+    own = P.vocabulary(docs)
+    others = {w: n for w, n in counts.items() if w not in set(own.tolist())}
+    number = lambda w: (w & (2**64 - 1)) >> 54
+    total = Counter()
+    for w, n in others.items():
+        total[number(w)] += n
+    assert len(set(others.values())) > 1 and max(total.values()) > 1
+    network = {r["doc_id"]: r for r in P.score(docs, own, P.train(docs, own), others=True).collect()}
+    for r in P.report(docs).collect():
+        n = network[r["doc_id"]]
+        within = sum(np.log(others[w] / total[number(w)]) for w in n["others"])
+        assert r["log_likelihood"] == pytest.approx(n["log_likelihood"] + within, rel=1e-4)
+        assert (within < -1) == (r["doc_id"] >= 100)
+
+
 def test_small_tables(frame, with_clashes, own_columns):
     assert P.report(frame([])).collect() == []
     assert [tuple(r) for r in P.report(frame([(1, None)])).collect()] == [(1, 0, 0.0, None)]
