@@ -10,9 +10,10 @@ frequent words have numbers of their own, all others share ``SHARED`` numbers by
 word's share of the number's tokens as its probability, joined at scoring. So the probabilities of all words of the corpus sum to one
 in any window. In windows, words that share a number are alike.
 
-Training is distributed and sees every token of every document: each task fits its own copy to its partition in
-numpy, from the same start, and the copies are averaged, weighted by tokens. What is gathered so grows with the corpus, what
-reaches the driver is one network.
+Training is distributed and sees every token of every document once, in ``ROUNDS`` rounds. Documents are dealt to
+rounds and tasks by hash, so that how the table is sorted or clustered doesn't matter. In a round each task fits its own copy to its partition in numpy, from the average of the last round, with the step sizes
+reached there. Each row of the embeddings, and each parameter of the rest, is averaged by the number of tokens that have changed it
+in each copy; copies that never saw a word don't pull it back to the start. What reaches the driver is one network a round.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import cut, set_apart
+from .shared import cut, named, set_apart
 
 HALF = 64
 SIZE = HALF * HALF
 SHARED = 1024
 SIDE, WIDTH = 2, 12
 BATCH, RATE, L2 = 2048, 0.25, 1e-5
-BLOCK = 4096  #: parameters in a row of the average
+BLOCK = 1024  #: rows of parameters that are averaged together
+ROUNDS = 4
 EDGE = SIZE  #: number of what lies outside the text
 _CONTEXT = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
@@ -135,9 +137,11 @@ def log_probabilities(m: dict[str, np.ndarray], token: np.ndarray, x: np.ndarray
 class Trainer:
     """Minibatch gradient steps with a rate for each parameter (AdaGrad)."""
 
-    def __init__(self):
-        self.m = start()
-        self.s = {k: np.full(v.shape[:2] if k == "e" else v.shape, 1e-2, np.float32) for k, v in self.m.items()}
+    def __init__(self, m: dict[str, np.ndarray] | None = None, s: dict[str, np.ndarray] | None = None):
+        self.m = m or start()
+        self.s = s or {k: np.full(v.shape[:2] if k == "e" else v.shape, 1e-2, np.float32) for k, v in self.m.items()}
+        self.seen = np.zeros((len(_CONTEXT), SIZE + 1), np.int64)  #: tokens that have changed each embedding
+        self.high = np.zeros(HALF, np.int64)  #: tokens of each first half
         self.tokens = 0
 
     def step(self, token: np.ndarray, x: np.ndarray) -> None:
@@ -156,27 +160,49 @@ class Trainer:
             s[k] += d * d
             m[k] -= RATE * d / np.sqrt(s[k])
         for k in range(x.shape[1]):
-            order = np.argsort(x[:, k], kind="stable")
+            order = np.argsort(x[:, k].astype(np.int16), kind="stable")  # of 16 bits: sorted by radix
             v = x[order, k]
             new = np.flatnonzero(np.diff(v, prepend=-1))
+            self.seen[k][v[new]] += np.diff(new, append=n)
             d, v = np.add.reduceat(dh[order], new) / n, v[new]
             s["e"][k][v] += (d * d).mean(1)
             m["e"][k][v] -= RATE * d / np.sqrt(s["e"][k][v])[:, None]
+        self.high += np.bincount(high, minlength=HALF)
         self.tokens += n
 
+    def weights(self) -> np.ndarray:
+        """For each row of the embeddings and each parameter of the rest how many tokens have changed it, in the order of ``flat(self.s)``."""
+        of = {"e": self.seen, "c": self.high[:, None], "b0": self.high[:, None]}
+        return flat({k: np.broadcast_to(of.get(k, np.int64(self.tokens)), v.shape) for k, v in self.s.items()}).astype(np.float64)
+
 
 def flat(m: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in m.values()])
 
 
-def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
+def shaped(x: np.ndarray, like: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, v in start().items():
+    for k, v in (like or start()).items():
         out[k] = x[at : at + v.size].reshape(v.shape).astype(np.float32)
         at += v.size
     return out
 
 
+def blocks() -> list[tuple[slice, slice]]:
+    """Blocks of rows: where they are in ``flat`` of step sizes or weights, and in ``flat`` of parameters."""
+    rows, all_ = len(_CONTEXT) * (SIZE + 1), len(flat(Trainer().s))
+    out = [(slice(i, min(i + BLOCK, rows)), slice(i * WIDTH, min(i + BLOCK, rows) * WIDTH)) for i in range(0, rows, BLOCK)]
+    more = rows * (WIDTH - 1)
+    return out + [(slice(i, min(i + BLOCK, all_)), slice(i + more, min(i + BLOCK, all_) + more)) for i in range(rows, all_, BLOCK)]
+
+
+def averaged(w: np.ndarray, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of weights, and weighted means of parameters and step sizes, over copies (first axis). What no copy has changed is as it was."""
+    whole = w.sum(0)
+    share = np.where(whole > 0, w / np.maximum(whole, 1), 1 / len(w))
+    return whole, (np.repeat(share, x.shape[1] // w.shape[1], 1) * x).sum(0), (share * s).sum(0)
+
+
 def _tokens(batches, own: np.ndarray):
     order = np.argsort(own)
     for b in batches:
@@ -187,36 +213,42 @@ def _tokens(batches, own: np.ndarray):
 
 
 def train(docs: DataFrame, own: np.ndarray) -> np.ndarray:
-    """Averaged parameters of the tasks' networks. Without any token the network is the untrained one."""
+    """Parameters after all rounds. Without any token the network is the untrained one."""
+    x, s = flat(start()), flat(Trainer().s)
+    dealt = docs.select("text", F.xxhash64(*map(named, docs.columns)).alias("deal"))
+    for r in range(ROUNDS):
+        x, s = _round(dealt.where(F.pmod("deal", F.lit(ROUNDS)) == r).repartition("deal"), own, x, s)
+    return x
+
+
+def _round(docs: DataFrame, own: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and step sizes, averaged over tasks that each start from those before."""
 
     def run(batches):
-        t, random = Trainer(), np.random.default_rng(3)
+        t, random = Trainer(shaped(before), shaped(sizes, Trainer().s)), np.random.default_rng(3)
         for _, _, _, w, token in _tokens(batches, own):
             x, mixed = windows(token, w.first), random.permutation(len(token))
             for i in range(0, len(token), BATCH):
                 part = mixed[i : i + BATCH]
                 t.step(token[part], x[part])
         if t.tokens:
-            x = flat(t.m)
-            blocks = range(0, len(x), BLOCK)
-            values = pa.array([x[i : i + BLOCK] for i in blocks], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(t.tokens)] * len(blocks)), values], ["block", "weight", "x"])
+            w, x, s, at = t.weights(), flat(t.m), flat(t.s), blocks()
+            columns = [pa.array([v[b[k]] for b in at], pa.list_(kind)) for v, k, kind in ((w, 0, pa.float64()), (x, 1, pa.float32()), (s, 0, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), *columns], ["block", "w", "x", "s"])
 
     def mean(rows: pa.Table) -> pa.Table:
-        w = rows.column("weight").to_numpy()
-        return pa.table({"block": rows.column("block")[:1], "w": pa.array([w.sum()]), "x": pa.array([_weighted(rows.column("x"), w)], pa.list_(pa.float32()))})
+        w, x, s = (np.stack([np.asarray(v.values) for v in rows.column(c)]).astype(np.float64) for c in "wxs")
+        out = [pa.array([v], pa.list_(kind)) for v, kind in zip(averaged(w, x, s), (pa.float64(), pa.float32(), pa.float32()), strict=True)]
+        return pa.table([rows.column("block")[:1], *out], ["block", "w", "x", "s"])
 
     # Networks meet in groups of some tasks first, then all; a task never holds more than these few blocks.
-    copies = docs.select("text").mapInArrow(run, "block int, weight double, x array<float>")
-    some = copies.withColumn("part", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(32))).groupBy("block", "part").applyInArrow(mean, "block int, w double, x array<float>")
-    whole = some.withColumnRenamed("w", "weight").groupBy("block").applyInArrow(mean, "block int, w double, x array<float>")
-    got = whole.orderBy("block").toArrow()
-    return np.concatenate([np.array(v, np.float32) for v in got.column("x").to_pylist()]) if got.num_rows else flat(start())
-
-
-def _weighted(column: pa.ChunkedArray, w: np.ndarray) -> np.ndarray:
-    x = np.stack([np.array(v.as_py(), np.float64) for v in column])
-    return ((w[:, None] * x).sum(0) / w.sum()).astype(np.float32)
+    schema = "block int, w array<double>, x array<float>, s array<float>"
+    copies = docs.select("text").mapInArrow(run, schema)
+    some = copies.withColumn("part", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(32))).groupBy("block", "part").applyInArrow(mean, schema)
+    got = some.groupBy("block").applyInArrow(mean, schema).select("block", "x", "s").orderBy("block").toArrow()
+    if not got.num_rows:
+        return before, sizes
+    return tuple(np.concatenate([np.asarray(v.values) for v in got.column(c)]).astype(np.float32) for c in "xs")
 
 
 def score(docs: DataFrame, own: np.ndarray, parameters: np.ndarray, others: bool = False) -> DataFrame:

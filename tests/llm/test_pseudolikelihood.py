@@ -94,6 +94,34 @@ def test_sum_of_conditionals(frame, corpus):
         assert r["log_likelihood"] == pytest.approx(want, rel=1e-4, abs=1e-6)
 
 
+def test_average_by_updates():
+    """A word in one of many copies keeps what that copy has learnt of it; one in several is averaged by tokens; others stay."""
+    at, copies = P.blocks(), [P.Trainer() for _ in range(5)]
+    token = np.arange(64) * 64
+    for i, t in enumerate(copies):
+        t.step(token, np.full((64, 4), 7 if i == 0 else 9))
+    w, x, s = (np.stack(v) for v in zip(*((t.weights(), P.flat(t.m), P.flat(t.s)) for t in copies), strict=True))
+    assert [b.start for b, _ in at[1:]] == [b.stop for b, _ in at[:-1]] and at[-1][0].stop == w.shape[1] and at[-1][1].stop == x.shape[1]
+    out = P.shaped(np.concatenate([P.averaged(w[:, a], x[:, b], s[:, a])[1] for a, b in at]))
+    assert np.abs(copies[0].m["e"][:, 7] - P.start()["e"][:, 7]).max() > 0.01
+    assert np.allclose(out["e"][:, 7], copies[0].m["e"][:, 7], atol=1e-6) and np.allclose(out["e"][:, 9], copies[1].m["e"][:, 9], atol=1e-6)
+    assert np.allclose(out["e"][:, 11], P.start()["e"][:, 11], atol=1e-6)
+
+
+def test_clustered_words_are_learnt(spark, corpus):
+    """Words of one of many partitions score about as well as if there were that partition only."""
+    r = random.Random(2)
+    own_text = [(i, " ".join(f"alpha beta gamma delta{r.randrange(3)}" for _ in range(300))) for i in range(8)]
+    others = [(1000 + i, t) for i, t in enumerate(t for i, t in corpus if i and 100 <= i < 240)]
+    rows = spark.sparkContext.parallelize([own_text, *(others[i::7] for i in range(7))], 8).flatMap(lambda x: x)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = P.vocabulary(docs)
+    few = docs.where("doc_id < 1000")
+    mean = lambda model: np.mean([x["log_likelihood"] / x["n_tokens"] for x in P.score(few, own, model).collect()])
+    untrained, alone, together = mean(P.flat(P.start())), mean(P.train(few, own)), mean(P.train(docs, own))
+    assert together - untrained > 0.8 * (alone - untrained)
+
+
 def test_words_that_share_a_number(frame):
     """Each word of the corpus has its own probability, by how often it is there, however many words there are."""
     rows = [(i, " ".join(f"common{k}" for k in range(i % 7, 3072, 7)) + " ") for i in range(28)]
