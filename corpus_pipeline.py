@@ -25,11 +25,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null, or without a letter. The language found replaces a missing one."""
+    """Rejects documents in no language: null, or without a letter. The language found replaces a missing one; it is ``und`` if no
+    row has a language to learn from."""
     bounded_batches(spark)
     docs, back = set_apart(docs, "doc_id", "text", "lang")
     profiles = langid.learn(docs.where(~langid.held_out()))
-    found = langid.predict(docs, profiles).where(F.col("lang_pred") != langid.UNKNOWN)
+    found = langid.predict(docs.where(F.col("text").rlike(r"\p{L}")), profiles)
     return back(found.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 

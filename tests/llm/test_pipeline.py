@@ -99,6 +99,12 @@ def test_empty_table(spark, folder):
     assert [f.count() for f in stages(spark, folder, docs)] == [0] * 5
 
 
+def test_documents_stay_where_no_language_is_learnt(spark, folder):
+    rows = [(1, "clean prose", None), (2, "123 !", None), (3, None, None), (4, "文字", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted((r["doc_id"], r["lang"]) for r in C.identify_language(spark, docs, folder).collect()) == [(1, "und"), (4, "und")]
+
+
 def test_no_language_is_learnt_from_the_fold(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     assert langid.learn(docs) == {}
