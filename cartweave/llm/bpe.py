@@ -4,13 +4,15 @@
 sequence of pre-tokens as numbers of these words: that is every pre-token with its position. The words are dealt by their hash,
 so that equal words of all blocks meet in one task, which encodes each distinct word once; the ids go back to the blocks, and
 the blocks put them together by position. A row of the shuffle holds the words that one block sends to one bucket, so a word
-that is in every text is one entry for each block. Blocks have a bounded size; buckets grow with the data.
+that is in every text is one entry for each block. Blocks have a bounded size, and there is a bucket for each ``BUCKET_BYTES`` of text,
+so that tasks don't grow with the data. A block that doesn't get all its words back is an error.
 
-``decode`` joins the token-byte table, which is a file of bounded size that each task reads once.
+``decode`` joins the token-byte table, a file of bounded size that each task reads once: ids are probed in it by whole arrays.
 """
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import hashlib
@@ -26,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
-from .shared import cut, returning, set_apart
+from .shared import cut, returning, set_apart, text_bytes
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 64_000_000
 MAX_TABLE_BYTES = 64_000_000
 
 
@@ -114,6 +116,62 @@ def _rows(rows: list[tuple], types=(pa.int32(), pa.string(), pa.binary(), pa.bin
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], _NAMES)
 
 
+def gathered(flat: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, elements one after another) of these rows of a ragged array: row i is flat[first[i] : first[i + 1]]."""
+    size = first[rows + 1] - first[rows]
+    at = np.repeat(first[rows] - np.cumsum(size) + size, size)
+    return size, flat[at + np.arange(len(at))]
+
+
+def put_together(name: str, main: bytes, parts, kind: str) -> tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of a block's sequence and the (places, ids) of its words: doc_ids, numbers of the words of each document, and the words' ids as a ragged array.
+
+    It is an error if not all words of the block are there, each once.
+    """
+    ids, null, counts, n, stream = _unpacked(main)
+    ids, counts, stream = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), _from_planes(counts), _from_planes(stream)
+    n = struct.unpack("<q", n)[0]
+    places, sizes, pool = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, kind)]
+    for own, body in parts:
+        size, tokens = _unpacked(body)
+        places.append(np.cumsum(_from_planes(_unpacked(own)[0]), dtype=np.int64))
+        sizes.append(_from_planes(size).astype(np.int64))
+        pool.append(np.frombuffer(tokens, kind))
+    place, size, pool = np.concatenate(places), np.concatenate(sizes), np.concatenate(pool)
+    order = np.argsort(place, kind="stable")
+    if len(size) != len(place) or size.sum() != len(pool) or not np.array_equal(place[order], np.arange(n)):
+        raise ValueError(f"block {name} got {len(place)} of its {n} words back")
+    first = np.cumsum(size) - size
+    _, pool = gathered(pool, np.append(first, len(pool)), order)
+    edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).tolist()
+    return ids, [stream[a:b] for a, b in zip(edges, edges[1:], strict=False)], pool, np.concatenate([[0], np.cumsum(size[order])])
+
+
+class TokenBytes:
+    """The token-byte table by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values(), default=-1) + 1
+        words: list[bytes] = [b""] * size
+        self.known = np.zeros(size, bool)
+        for word, i in ranks.items():
+            words[i] = word
+            self.known[i] = True
+        self.flat, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words], dtype=np.int64)
+        self.first = np.concatenate([[0], ends]).astype(np.int64)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, in order. An id that the table lacks is an error."""
+        if len(ids) and not (ids.max() < len(self.known) and self.known[ids].all()):
+            raise ValueError("an id is not in the token table")
+        return gathered(self.flat, self.first, ids.astype(np.int64))[1].tobytes()
+
+
+@functools.cache
+def _token_bytes(table: str) -> TokenBytes:
+    return TokenBytes(read_ranks(table))
+
+
 def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None, stable: bool = False) -> DataFrame:
     """(doc_id, ids): for each row of docs (doc_id, text) its token ids as little-endian unsigned 32-bit integers.
 
@@ -123,9 +181,15 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
     The texts are read twice, and must come in the same order each time: ``stable`` says that docs is a table as it is stored.
     Any other frame is checkpointed first.
     """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 2 * tasks
+    return _encoded(docs, table, pattern, buckets, stable, "doc_id long, ids binary", lambda ids, tokens: pa.table({"doc_id": ids, "ids": pa.array([x.tobytes() for x in tokens], pa.binary())}))
+
+
+def _encoded(docs: DataFrame, table: str, pattern: str, buckets: int | None, stable: bool, schema: str, finished) -> DataFrame:
+    """What ``finished`` makes of some doc_ids and the arrays of their ids, for all rows of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs if stable else cut(docs)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // BUCKET_BYTES))
+    buckets = buckets or tasks
 
     def split(batches, words_only):
         """Rows of the words of each block, or of its sequence. A block is named by what it holds, so that both passes name it alike."""
@@ -144,7 +208,7 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
             null = np.array([x is None for x in ids])
             head = np.array([x or 0 for x in ids], np.int64).tobytes(), null.tobytes(), _planes(np.array(counts, np.uint32)), struct.pack("<q", len(words))
             body = _planes(rank[flat] if len(words) else flat)
-            name = hashlib.sha256(b"".join([*head, body, *_joined(raw)])).hexdigest()
+            name = hashlib.sha256(b"".join([*head, body, *_joined(raw)])).hexdigest()[:40]
             if not words_only:
                 yield _rows([(-1, name, None, None, _packed(*head, body))])
                 return
@@ -173,60 +237,52 @@ def encode(docs: DataFrame, table: str, pattern: str, buckets: int | None = None
     def lookup(batches):
         """Equal words are in one task here, so each distinct word is encoded once."""
         _, ranks = _tools(table, pattern)
-        known: dict[bytes, np.ndarray] = {}
-        small = max(ranks.values()) < 65536
+        number: dict[bytes, int] = {}
+        pool, first = array.array("I"), array.array("q", [0])  # ids of all words so far, and where each word's begin
         for b in batches:
             out = []
             for bucket, block, words, places, body in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True):
                 if body is None:
-                    got = []
-                    for w in _apart(*_unpacked(words)):
-                        if (x := known.get(w)) is None:
-                            x = known[w] = np.array(merged(w, ranks), np.uint32)
-                        got.append(x)
-                    body, words = _packed(_planes(np.array([len(x) for x in got], np.uint32)), np.concatenate(got).astype("<u4").astype("<u2" if small else "<u4").tobytes()), None
+                    got = np.empty(len(own := _apart(*_unpacked(words))), np.int64)
+                    for i, w in enumerate(own):
+                        if (x := number.get(w)) is None:
+                            x = number[w] = len(number)
+                            pool.extend(merged(w, ranks))
+                            first.append(len(pool))
+                        got[i] = x
+                    size, ids = gathered(np.frombuffer(pool, np.uint32), np.frombuffer(first, np.int64), got)
+                    body, words = _packed(_planes(size), ids.astype(kind).tobytes()), None
                 out.append((bucket, block, words, places, body))
             yield _rows(out)
 
-    def assemble(rows: pa.Table) -> pa.Table:
-        parts, mains = {}, []  # equal blocks have one name: several sequences, and the same words as often
-        for bucket, places, body in zip(*(rows.column(c).to_pylist() for c in ("bucket", "places", "body")), strict=True):
-            if bucket < 0:
-                mains.append(body)
-            else:
-                parts[bucket] = places, body
-        return pa.concat_tables([whole(x, parts.values()) for x in mains])
-
-    def whole(main: bytes, parts) -> pa.Table:
-        ids, null, counts, n, stream = _unpacked(main)
-        ids, counts, stream = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), _from_planes(counts), _from_planes(stream)
-        n = struct.unpack("<q", n)[0]
-        small = max(_tools(table, pattern)[1].values()) < 65536
-        lengths, firsts, pool, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-        for places, body in parts:
-            own = np.cumsum(_from_planes(_unpacked(places)[0]), dtype=np.int64)
-            sizes, tokens = _unpacked(body)
-            sizes = _from_planes(sizes).astype(np.int64)
-            tokens = np.frombuffer(tokens, "<u2" if small else "<u4")
-            lengths[own], firsts[own] = sizes, at + np.cumsum(sizes) - sizes
-            at += len(tokens)
-            pool.append(tokens)
-        pool = np.concatenate(pool).astype("<u4") if pool else np.zeros(0, "<u4")
-        edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        out = []
-        for d in range(len(ids)):
-            word = stream[edges[d] : edges[d + 1]]
-            size = lengths[word]
-            take = np.repeat(firsts[word] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            out.append(pool[take].tobytes())
-        return pa.table({"doc_id": ids, "ids": pa.array(out, pa.binary())})
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs if stable else cut(docs)
+    def assemble(batches):
+        """Rows come sorted by block, and in each the sequence first."""
+        name, mains, parts = None, [], {}
+        for b in batches:
+            for bucket, block, places, body in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "places", "body")), strict=True):
+                if block != name:
+                    yield from blocks(name, mains, parts)
+                    name, mains, parts = block, [], {}
+                if bucket < 0:
+                    mains.append(body)
+                else:
+                    parts[bucket] = places, body  # equal blocks have one name: several sequences, and the same words as often
+        yield from blocks(name, mains, parts)
+
+    def blocks(name, mains, parts):
+        if parts and not mains:
+            raise ValueError(f"block {name} has words, but no sequence")
+        for main in mains:
+            ids, sequences, pool, first = put_together(name, main, parts.values(), kind)
+            for i in range(0, len(ids), 256):
+                tokens = (gathered(pool, first, x)[1].astype("<u4") for x in sequences[i : i + 256])
+                yield from finished(ids[i : i + 256], tokens).to_batches()
+
+    kind = "<u2" if max(read_ranks(table).values(), default=0) < 65536 else "<u4"
     # Two passes over the texts: the words go to their buckets and come back, the sequences only go to their blocks.
     words = docs.mapInArrow(returning(lambda b: split(b, True)), _ROW).repartition(tasks, "bucket").mapInArrow(returning(lookup), _ROW)
-    blocks = docs.mapInArrow(returning(lambda b: split(b, False)), _ROW)
-    return words.union(blocks).groupBy("block").applyInArrow(assemble, "doc_id long, ids binary")
+    sequences = docs.mapInArrow(returning(lambda b: split(b, False)), _ROW)
+    return words.union(sequences).repartition(tasks, "block").sortWithinPartitions("block", "bucket").mapInArrow(returning(assemble), schema)
 
 
 def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
@@ -235,20 +291,23 @@ def decode(tokens: DataFrame, table: str, into: str = "bytes") -> DataFrame:
     schema = Y.StructType([*tokens.schema.fields, Y.StructField(into, Y.BinaryType())])
 
     def run(batches):
-        _, ranks = _tools(table, "")
-        at = np.argsort(np.fromiter(ranks.values(), np.int64, len(ranks)), kind="stable")
-        words, numbers = list(ranks), np.fromiter(ranks.values(), np.int64, len(ranks))
-        by_id: list[bytes | None] = [None] * (int(numbers.max()) + 1)
-        for i in at.tolist():
-            by_id[numbers[i]] = words[i]
         for b in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):
-            out = [None if x is None else b"".join([by_id[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column("ids").to_pylist()]
+            out = [None if x is None else _token_bytes(table).joined(np.frombuffer(x, "<u4")) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, into])
 
     return back(tokens.mapInArrow(returning(run), schema), into)
 
 
 def report(docs: DataFrame, table: str, pattern: str, stable: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs, from real ids and real decoded bytes."""
-    both = decode(encode(docs, table, pattern, stable=stable), table)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs, from real ids and real decoded bytes.
+
+    Null texts count as empty, which has no tokens; repeated rows each have their own result. Ids are decoded in the tasks that put them together,
+    so that neither they nor the bytes leave these.
+    """
+
+    def digests(ids: pa.Array, tokens) -> pa.Table:
+        rows = [(len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(_token_bytes(table).joined(x)).hexdigest()) for x in tokens]
+        n, encoded, decoded = zip(*rows, strict=True)
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(encoded), "decoded_sha256": pa.array(decoded)})
+
+    return _encoded(docs, table, pattern, None, stable, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digests)

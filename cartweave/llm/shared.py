@@ -70,6 +70,11 @@ def returning(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return wrapped
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what numbers of tasks follow."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def named(c: str) -> Column:
     """The column of just this name, whatever characters are in it."""
     return F.col("`" + c.replace("`", "``") + "`")

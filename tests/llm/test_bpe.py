@@ -52,6 +52,22 @@ def test_stored_table(spark, frame, corpus, library, tmp_path):
     assert result(bpe.report(spark.read.parquet(f"{tmp_path}/docs"), PATH, PATTERN, stable=True)) == want(corpus, library)
 
 
+def test_lost_words_are_an_error():
+    main = bpe._packed(np.array([7, 8]).tobytes(), np.array([False, False]).tobytes(), bpe._planes(np.array([3, 1], np.uint32)), (3).to_bytes(8, "little"), bpe._planes(np.array([0, 2, 1, 0], np.uint32)))
+    part = lambda places, words: (bpe._packed(bpe._planes(np.diff(places, prepend=0))), bpe._packed(bpe._planes(np.array([len(w) for w in words], np.uint32)), np.concatenate(words).astype("<u2").tobytes()))
+    both = [part([1], [[5]]), part([0, 2], [[1, 2], [3]])]
+    ids, sequences, pool, first = bpe.put_together("b", main, both, "<u2")
+    assert ids.to_pylist() == [7, 8] and [bpe.gathered(pool, first, x)[1].tolist() for x in sequences] == [[1, 2, 3, 5], [1, 2]]
+    for lost in (both[:1], both[1:], [*both, both[0]], []):
+        with pytest.raises(ValueError, match="of its 3 words"):
+            bpe.put_together("b", main, lost, "<u2")
+
+
+def test_unknown_ids_are_an_error():
+    with pytest.raises(ValueError, match="not in the token table"):
+        bpe._token_bytes(PATH).joined(np.array([10**6]))
+
+
 def test_empty_tables(frame):
     assert bpe.report(frame([]), PATH, PATTERN).collect() == []
     assert [tuple(r) for r in bpe.encode(frame([(1, None), (2, "")]), PATH, PATTERN).orderBy("doc_id").collect()] == [(1, b""), (2, b"")]
