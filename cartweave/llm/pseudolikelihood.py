@@ -10,14 +10,20 @@ frequent words have numbers of their own, all others share ``SHARED`` numbers by
 word's share of the number's tokens as its probability, joined at scoring. So the probabilities of all words of the corpus sum to one
 in any window. In windows, words that share a number are alike.
 
-Training is distributed and sees every token of every document once, in ``ROUNDS`` rounds. Documents are dealt to
-rounds and tasks by hash, so that how the table is sorted or clustered doesn't matter. In a round each task fits its own copy to its partition in numpy, from the average of the last round, with the step sizes
+Texts are read twice: for the counts, and to be coded as numbers in blocks of ``BLOCK_BYTES``, each with the other words that it has, once;
+all that follows works on these codes. Training sees every token of every document once, in ``ROUNDS`` rounds. Documents are dealt to
+rounds and to shards of about ``SHARD_TOKENS`` by hash, so that neither how the table is sorted or clustered nor how many partitions
+it has matters. In a round each shard fits its own copy in numpy, from the average of the last round, with the step sizes
 reached there. Each row of the embeddings, and each parameter of the rest, is averaged by the number of tokens that have changed it
 in each copy; copies that never saw a word don't pull it back to the start. What reaches the driver is one network a round.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import cut, named, set_apart
+from .shared import cut, returning, set_apart
 
 HALF = 64
 SIZE = HALF * HALF
@@ -34,8 +40,10 @@ SIDE, WIDTH = 2, 12
 BATCH, RATE, L2 = 2048, 0.25, 1e-5
 BLOCK = 1024  #: rows of parameters that are averaged together
 ROUNDS = 4
+SHARD_TOKENS, BLOCK_BYTES = 2_000_000, 8_000_000
 EDGE = SIZE  #: number of what lies outside the text
 _CONTEXT = [*range(-SIDE, 0), *range(1, SIDE + 1)]
+_TABLES = np.arange(len(_CONTEXT)) * (SIZE + 1)  #: where the embeddings of each place of the window begin
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(returning(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame) -> np.ndarray:
@@ -110,18 +118,34 @@ def start(seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+    """Over the first axis."""
+    x -= x.max(0)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= x.sum(0)
     return x
 
 
 def forward(m: dict[str, np.ndarray], x: np.ndarray, high: np.ndarray):
-    h = np.tanh(sum(m["e"][k][x[:, k]] for k in range(x.shape[1])))
-    p = _softmax(h @ m["a"] + m["a0"])
-    g = h + m["c"][high]
-    q = _softmax(g @ m["b"] + m["b0"][high])
-    return h, p, g, q
+    """Hidden states of both halves (a row for each token), and their distributions (a column for each)."""
+    table = m["e"].reshape(-1, WIDTH)
+    h = table.take(x[:, 0], 0)
+    for k in range(1, x.shape[1]):
+        h += table.take(x[:, k] + _TABLES[k], 0)
+    np.tanh(h, out=h)
+    p = m["a"].T @ h.T
+    p += m["a0"][:, None]
+    g = h + m["c"].take(high, 0)
+    q = m["b"].T @ g.T
+    q += m["b0"].T[:, high]
+    return h, _softmax(p), g, _softmax(q)
+
+
+def sums(values: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, sums of the columns of values that have each, their numbers). Keys below 2 ** 15 are sorted by radix."""
+    order = np.argsort(key.astype(np.int16), kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[new], np.add.reduceat(values.take(order, 1), new, 1), np.diff(new, append=len(key))
 
 
 def log_probabilities(m: dict[str, np.ndarray], token: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -130,7 +154,7 @@ def log_probabilities(m: dict[str, np.ndarray], token: np.ndarray, x: np.ndarray
         high, low = np.divmod(token[i : i + BATCH], HALF)
         _, p, _, q = forward(m, x[i : i + BATCH], high)
         rows = np.arange(len(high))
-        out[i : i + BATCH] = np.log(np.maximum(p[rows, high], 1e-30)) + np.log(np.maximum(q[rows, low], 1e-30))
+        out[i : i + BATCH] = np.log(np.maximum(p[high, rows], 1e-30)) + np.log(np.maximum(q[low, rows], 1e-30))
     return out
 
 
@@ -149,25 +173,30 @@ class Trainer:
         high, low = np.divmod(token, HALF)
         rows = np.arange(n)
         h, p, g, q = forward(m, x, high)
-        p[rows, high] -= 1
-        q[rows, low] -= 1
-        dg = q @ m["b"].T
-        dh = (p @ m["a"].T + dg) * (1 - h * h)
-        pick = np.zeros((n, HALF), np.float32)
-        pick[rows, high] = 1
-        for k, d in (("a", h.T @ p), ("a0", p.sum(0)), ("b", g.T @ q), ("c", pick.T @ dg), ("b0", pick.T @ q)):
+        p[high, rows] -= 1
+        q[low, rows] -= 1
+        dg = m["b"] @ q
+        dh = (m["a"] @ p + dg).T * (1 - h * h)
+        halves, by_half, count = sums(np.concatenate([dg, q]), high)
+        dc, db0 = np.zeros_like(m["c"]), np.zeros_like(m["b0"])
+        dc[halves], db0[halves] = by_half[:WIDTH].T, by_half[WIDTH:].T
+        for k, d in (("a", (p @ h).T), ("a0", p.sum(1)), ("b", (q @ g).T), ("c", dc), ("b0", db0)):
             d = d / n + L2 * m[k]
             s[k] += d * d
             m[k] -= RATE * d / np.sqrt(s[k])
-        for k in range(x.shape[1]):
-            order = np.argsort(x[:, k].astype(np.int16), kind="stable")  # of 16 bits: sorted by radix
-            v = x[order, k]
-            new = np.flatnonzero(np.diff(v, prepend=-1))
-            self.seen[k][v[new]] += np.diff(new, append=n)
-            d, v = np.add.reduceat(dh[order], new) / n, v[new]
-            s["e"][k][v] += (d * d).mean(1)
-            m["e"][k][v] -= RATE * d / np.sqrt(s["e"][k][v])[:, None]
-        self.high += np.bincount(high, minlength=HALF)
+        at = (x + _TABLES).ravel()
+        order = np.argsort(at.astype(np.int16 if _TABLES[-1] + SIZE < 2**15 else np.int32), kind="stable")  # of 16 bits: sorted by radix
+        at = at[order]
+        new = np.flatnonzero(np.diff(at, prepend=-1))
+        d, v = np.add.reduceat(dh.take(order // x.shape[1], 0), new) / n, at[new]
+        table, sizes, seen = m["e"].reshape(-1, WIDTH), s["e"].reshape(-1), self.seen.reshape(-1)
+        seen[v] += np.diff(new, append=len(at))
+        if s["e"].ndim == 2:
+            sizes[v] += (d * d).mean(1)
+            table[v] -= RATE * d / np.sqrt(sizes[v])[:, None]
+        else:
+            table[v] -= RATE * d / np.sqrt(s["e"].reshape(-1, WIDTH)[v])
+        self.high[halves] += count
         self.tokens += n
 
     def weights(self) -> np.ndarray:
@@ -203,81 +232,188 @@ def averaged(w: np.ndarray, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, n
     return whole, (np.repeat(share, x.shape[1] // w.shape[1], 1) * x).sum(0), (share * s).sum(0)
 
 
-def _tokens(batches, own: np.ndarray):
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers with their lowest bytes first, then the next, compressed."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    x = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], n * size), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(x.T).view(kind).reshape(-1)
+
+
+def coded(docs: DataFrame, own: np.ndarray) -> DataFrame:
+    """docs (text and any other columns) as numbers, in blocks. A block has a row -1 with its distinct words without numbers of their own, sorted.
+
+    Its rows from 0 on are documents, with other columns, the numbers of their tokens and, for words without own numbers, places in the block's list;
+    deal is a hash of the text and of how many copies of it came before in the block.
+    Not the same if computed again, as blocks are named by partition: to be checkpointed before use.
+    """
+    others = [Y.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != "text"]
+    schema = Y.StructType([Y.StructField("block", Y.StringType()), Y.StructField("row", Y.IntegerType()), *others, Y.StructField("deal", Y.LongType()), Y.StructField("numbers", Y.BinaryType()), Y.StructField("places", Y.BinaryType()), Y.StructField("words", Y.ArrayType(Y.LongType()))])
+    keep = [f.name for f in others]
     order = np.argsort(own)
-    for b in batches:
-        for i, j, data, offsets in T.chunks(b.column("text")):
-            w = T.words(data, offsets, T.FOLDED)
-            token = numbers(w, own[order], order)
-            yield b, i, j, w, token
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        name, held, size, k, copies = TaskContext.get().partitionId(), [], 0, 0, Counter()
+
+        def deal(text: np.ndarray) -> int:
+            h = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+            copies[h] += 1
+            return h if copies[h] == 1 else hash((h, copies[h]))
+
+        def out():
+            rare = [h for *_, h in held]
+            words, at = np.unique(np.concatenate(rare), return_inverse=True)
+            block, row, edge = f"{name}-{k}", 0, 0
+            kinds = [pa.nulls(1, held[0][0].column(c).type) for c in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), *kinds, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))], schema.names)
+            for rest, deals, token, first, h in held:
+                n, own_at = len(first) - 1, at[edge : edge + len(h)].astype(np.uint32)
+                edge += len(h)
+                cuts = np.concatenate([[0], np.cumsum(token >= SIZE - SHARED)])[first]
+                numbers_ = pa.array([_pack(token[first[d] : first[d + 1]]) for d in range(n)], pa.binary())
+                places = pa.array([_pack(own_at[cuts[d] : cuts[d + 1]]) for d in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n), pa.array(range(row, row + n), pa.int32()), *rest.columns, pa.array(deals, pa.int64()), numbers_, places, pa.nulls(n, pa.list_(pa.int64()))], schema.names)
+                row += n
+
+        for b in batches:
+            for i, j, data, offsets in T.chunks(b.column("text")):
+                w = T.words(data, offsets, T.FOLDED)
+                token = numbers(w, own[order], order).astype(np.uint16)
+                deals = [deal(data[x:y]) for x, y in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+                held.append((b.select(keep).slice(i, j - i), deals, token, w.first, w.hash.view(np.int64)[token >= SIZE - SHARED]))
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield from out()
+                    held, size, k = [], 0, k + 1
+                    copies.clear()
+        if held:
+            yield from out()
+
+    return docs.select(*keep, "text").mapInArrow(returning(run), schema)
 
 
 def train(docs: DataFrame, own: np.ndarray) -> np.ndarray:
-    """Parameters after all rounds. Without any token the network is the untrained one."""
-    x, s = flat(start()), flat(Trainer().s)
-    dealt = docs.select("text", F.xxhash64(*map(named, docs.columns)).alias("deal"))
+    """Parameters after all rounds over docs (text). Without any token the network is the untrained one."""
+    docs = docs.select("text")
+    return train_coded(cut(coded(docs, own)), count_words(docs).agg(F.sum("n")).first()[0] or 0)
+
+
+def train_coded(code: DataFrame, tokens: int) -> np.ndarray:
+    """The same from what ``coded`` gives, with so many tokens in all."""
+    x, s, shards = flat(start()), flat(Trainer().s), max(1, round(tokens / ROUNDS / SHARD_TOKENS))
+    dealt = code.where("row >= 0").select("deal", "numbers")
     for r in range(ROUNDS):
-        x, s = _round(dealt.where(F.pmod("deal", F.lit(ROUNDS)) == r).repartition("deal"), own, x, s)
+        own = dealt.where(F.pmod("deal", F.lit(ROUNDS)) == r).withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
+        x, s = _round(own, shards, x, s)
     return x
 
 
-def _round(docs: DataFrame, own: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and step sizes, averaged over tasks that each start from those before."""
-
-    def run(batches):
-        t, random = Trainer(shaped(before), shaped(sizes, Trainer().s)), np.random.default_rng(3)
-        for _, _, _, w, token in _tokens(batches, own):
-            x, mixed = windows(token, w.first), random.permutation(len(token))
-            for i in range(0, len(token), BATCH):
-                part = mixed[i : i + BATCH]
-                t.step(token[part], x[part])
-        if t.tokens:
-            w, x, s, at = t.weights(), flat(t.m), flat(t.s), blocks()
-            columns = [pa.array([v[b[k]] for b in at], pa.list_(kind)) for v, k, kind in ((w, 0, pa.float64()), (x, 1, pa.float32()), (s, 0, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), *columns], ["block", "w", "x", "s"])
+def _round(dealt: DataFrame, shards: int, before: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and step sizes, averaged over the shards, which each start from those before."""
+
+    def fitted(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column("deal").to_numpy(), kind="stable")))
+        t, random, shard = Trainer(shaped(before), shaped(sizes, Trainer().s)), np.random.default_rng(3), rows.column("shard")[0].as_py()
+        held, size, last = [], 0, rows.num_rows - 1
+        for i, raw in enumerate(rows.column("numbers")):
+            held.append(_unpack(raw.as_py(), "<u2"))
+            size += len(held[-1])
+            if size >= 200_000 or i == last:
+                token, first = np.concatenate(held).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in held])])
+                x, mixed = windows(token, first), random.permutation(len(token))
+                for k in range(0, len(token), BATCH):
+                    part = mixed[k : k + BATCH]
+                    t.step(token[part], x[part])
+                held, size = [], 0
+        w, x, s, at = t.weights(), flat(t.m), flat(t.s), blocks()
+        columns = [pa.array([v[b[k]] for b in at], pa.list_(kind)) for v, k, kind in ((w, 0, pa.float64()), (x, 1, pa.float32()), (s, 0, pa.float32()))]
+        out = pa.Table.from_arrays([pa.array(range(len(at)), pa.int32()), pa.array([shard] * len(at), pa.int64()), *columns], ["block", "shard", "w", "x", "s"])
+        return out if t.tokens else out.slice(0, 0)
 
     def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column("shard").to_numpy(), kind="stable")))
         w, x, s = (np.stack([np.asarray(v.values) for v in rows.column(c)]).astype(np.float64) for c in "wxs")
         out = [pa.array([v], pa.list_(kind)) for v, kind in zip(averaged(w, x, s), (pa.float64(), pa.float32(), pa.float32()), strict=True)]
-        return pa.table([rows.column("block")[:1], *out], ["block", "w", "x", "s"])
-
-    # Networks meet in groups of some tasks first, then all; a task never holds more than these few blocks.
-    schema = "block int, w array<double>, x array<float>, s array<float>"
-    copies = docs.select("text").mapInArrow(run, schema)
-    some = copies.withColumn("part", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(32))).groupBy("block", "part").applyInArrow(mean, schema)
-    got = some.groupBy("block").applyInArrow(mean, schema).select("block", "x", "s").orderBy("block").toArrow()
+        return pa.table([rows.column("block")[:1], rows.column("shard")[:1], *out], ["block", "shard", "w", "x", "s"])
+
+    # Networks meet in groups first, then all: as many groups as each has shards, so that none grows with the corpus but by a square root.
+    schema = "block int, shard long, w array<double>, x array<float>, s array<float>"
+    copies = dealt.groupBy("shard").applyInArrow(fitted, schema)
+    if shards > 4:
+        copies = copies.groupBy("block", F.pmod("shard", F.lit(math.isqrt(shards)))).applyInArrow(mean, schema)
+    got = copies.groupBy("block").applyInArrow(mean, schema).select("block", "x", "s").orderBy("block").toArrow()
     if not got.num_rows:
         return before, sizes
     return tuple(np.concatenate([np.asarray(v.values) for v in got.column(c)]).astype(np.float32) for c in "xs")
 
 
-def score(docs: DataFrame, own: np.ndarray, parameters: np.ndarray, others: bool = False) -> DataFrame:
+def _scored(docs: list[np.ndarray], m: dict[str, np.ndarray]) -> np.ndarray:
+    """Log-likelihood of the numbers of each document; many are taken together, of bounded size."""
+    total, i = np.zeros(len(docs)), 0
+    while i < len(docs):
+        j, size = i, 0
+        while j < len(docs) and (j == i or size + len(docs[j]) <= 200_000):
+            size += len(docs[j])
+            j += 1
+        token = np.concatenate(docs[i:j]).astype(np.int64)
+        if len(token):
+            n = [len(x) for x in docs[i:j]]
+            x = windows(token, np.concatenate([[0], np.cumsum(n)]))
+            total[i:j] = np.bincount(np.repeat(np.arange(j - i), n), log_probabilities(m, token, x), j - i)
+        i = j
+    return total
+
+
+def score(docs: DataFrame, own: np.ndarray, parameters: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
     """docs (text and any other columns) with n_tokens and log_likelihood, in place of columns of these names; a text without words has 0 of both.
 
-    Of words that share a number this is the probability of the number; with ``others`` there is a column of that name, the hashes of
-    these words, one for each token.
+    Without ``counts`` (word, n), words that share a number have the probability of the number; with it, their own.
     """
-    docs, back = set_apart(docs.drop("n_tokens", "log_likelihood", *["others"] * others), "text")
-    more = [Y.StructField("others", Y.ArrayType(Y.LongType()))] * others
-    schema = Y.StructType([*docs.schema.fields, Y.StructField("n_tokens", Y.LongType()), Y.StructField("log_likelihood", Y.DoubleType()), *more])
+    docs, back = set_apart(docs.drop("n_tokens", "log_likelihood"), "text")
+    code = cut(coded(docs.withColumn("_text", F.col("text")), own))
+    return back(score_coded(code, own, parameters, counts).withColumnRenamed("_text", "text"), "n_tokens", "log_likelihood")
+
+
+def score_coded(code: DataFrame, own: np.ndarray, parameters: np.ndarray, counts: DataFrame | None, tasks: int | None = None) -> DataFrame:
+    """The same from what ``coded`` gives: its other columns, n_tokens and log_likelihood."""
+    keep = [f for f in code.schema.fields if f.name not in ("block", "row", "deal", "numbers", "places", "words")]
+    names = [f.name for f in keep]
+    own_shares = counts is not None
+    schema = Y.StructType([*keep, Y.StructField("n_tokens", Y.LongType()), Y.StructField("log_likelihood", Y.DoubleType())])
 
     def run(batches):
-        m = shaped(parameters)
+        m, block, shares = shaped(parameters), None, np.zeros(0, np.float32)
         for b in batches:
-            n, total, shared, sizes = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), [np.zeros(0, np.int64)], np.zeros(b.num_rows, np.int64)
-            for _, i, j, w, token in _tokens([b], own):
-                n[i:j] = np.diff(w.first)
-                if len(token):
-                    of = np.repeat(np.arange(j - i), n[i:j])
-                    total[i:j] = np.bincount(of, log_probabilities(m, token, windows(token, w.first)), j - i)
-                    if others:
-                        shared.append(w.hash.view(np.int64)[token >= SIZE - SHARED])
-                        sizes[i:j] = np.bincount(of[token >= SIZE - SHARED], minlength=j - i)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shared)))] * others
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(total), *lists], schema.names)
-
-    return back(docs.mapInArrow(run, schema), "n_tokens", "log_likelihood", *["others"] * others)
+            docs, within, rows = [], [], []
+            parts = (b.column(c).to_pylist() for c in ("block", "row", "numbers", "places"))
+            for i, (name, row, numbers_, places) in enumerate(zip(*parts, strict=True)):
+                if row < 0:
+                    block, shares = name, b.column("shares")[i].values.to_numpy()
+                    continue
+                rows.append(i)
+                docs.append(_unpack(numbers_, "<u2"))
+                at = _unpack(places, "<u4") if own_shares else ()
+                if len(at) and (name != block or at.max() >= len(shares)):
+                    raise ValueError(f"block {name} lacks shares of its words")
+                within.append(float(shares[at].sum(dtype=np.float64)) if len(at) else 0.0)
+            out = b.select(names).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([len(x) for x in docs], pa.int64()), pa.array(_scored(docs, m) + np.array(within))], schema.names)
+
+    docs = code.where("row >= 0").select("block", "row", *names, "numbers", "places")
+    if not own_shares:
+        return docs.mapInArrow(returning(run), schema)
+    words = code.where("row < 0").select("block", F.explode("words").alias("word"))
+    shares = words.join(log_shares(counts, own), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", F.col("log_share").cast("float").alias("log_share")))).alias("s"))
+    shares = shares.select("block", F.lit(-1).alias("row"), F.col("s.log_share").alias("shares"))
+    tasks = tasks or int(code.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = docs.unionByName(shares, allowMissingColumns=True).repartition(tasks, "block").sortWithinPartitions("block", "row")
+    return both.mapInArrow(returning(run), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -287,10 +423,8 @@ def report(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     counts = cut(count_words(docs))
-    own = most_frequent(counts)
-    scored = score(docs, own, train(docs, own), others=True).drop("text")
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
-    words = scored.select("row", F.explode("others").alias("word")).join(log_shares(counts, own), "word")
-    within = words.groupBy("row").agg(F.sum("log_share").alias("within"))
-    out = scored.drop("others").join(within, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("within", F.lit(0.0)))
+    own, tokens = most_frequent(counts), counts.agg(F.sum("n")).first()[0] or 0
+    code = cut(coded(docs, own))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // (8 * SHARD_TOKENS))
+    out = score_coded(code, own, train_coded(code, tokens), counts, tasks)
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

@@ -122,11 +122,11 @@ def test_clustered_words_are_learnt(spark, corpus):
     assert together - untrained > 0.8 * (alone - untrained)
 
 
-def test_words_that_share_a_number(frame):
+def test_words_that_share_a_number(spark):
     """Each word of the corpus has its own probability, by how often it is there, however many words there are."""
     rows = [(i, " ".join(f"common{k}" for k in range(i % 7, 3072, 7)) + " ") for i in range(28)]
     rows += [(100 + i, " ".join(f"rare{k}" for k in range(i * 40, i * 40 + 120))) for i in range(60)]
-    docs = frame(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")  # its rows are dealt alike each time
     counts = {r["word"]: r["n"] for r in P.count_words(docs).collect()}
     own = P.vocabulary(docs)
     others = {w: n for w, n in counts.items() if w not in set(own.tolist())}
@@ -135,14 +135,23 @@ def test_words_that_share_a_number(frame):
     for w, n in others.items():
         total[number(w)] += n
     assert len(set(others.values())) > 1 and max(total.values()) > 1
-    network = {r["doc_id"]: r for r in P.score(docs, own, P.train(docs, own), others=True).collect()}
+    network = {r["doc_id"]: r for r in P.score(docs, own, P.train(docs, own)).collect()}
+    hashed = lambda w: int(T.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), T.FOLDED).hash.view(np.int64)[0])
+    text = dict(rows)
     for r in P.report(docs).collect():
         n = network[r["doc_id"]]
-        within = sum(np.log(others[w] / total[number(w)]) for w in n["others"])
+        within = sum(np.log(others[w] / total[number(w)]) for w in map(hashed, text[r["doc_id"]].split()) if w in others)
         assert r["log_likelihood"] == pytest.approx(n["log_likelihood"] + within, rel=1e-4)
         assert (within < -1) == (r["doc_id"] >= 100)
 
 
+def test_result_is_nearly_free_of_partitioning(frame, corpus):
+    """One partition or many: scores are about the same."""
+    rows = [(i, t) for i, t in corpus if i and i >= 100]
+    total = [sum(r["log_likelihood"] for r in P.report(frame(rows, parts)).collect()) for parts in (1, 16)]
+    assert total[1] == pytest.approx(total[0], rel=0.02)
+
+
 def test_small_tables(frame, with_clashes, own_columns):
     assert P.report(frame([])).collect() == []
     assert [tuple(r) for r in P.report(frame([(1, None)])).collect()] == [(1, 0, 0.0, None)]
