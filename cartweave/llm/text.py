@@ -93,9 +93,11 @@ def words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, hashed: bool =
     if not hashed or not len(start):
         return Words(start, end, first, np.zeros(len(start), np.uint64))
     at = np.arange(n - start[0], dtype=np.int32) - np.repeat((start - start[0]).astype(np.int32), np.diff(start, append=n))
-    at &= 0xFFFF
     value = value[start[0] :]
-    value *= _POWERS[at]
+    value *= _POWERS[at & 0xFFFF]
+    long = np.flatnonzero(at > 0xFFFF)
+    if len(long):  # powers come again, but not with this factor
+        value[long] *= mix((at[long] >> 16).astype(np.uint64)) | np.uint64(1)
     return Words(start, end, first, mix(np.add.reduceat(value, start - start[0])))
 
 

@@ -34,3 +34,13 @@ def test_rolled():
     a = T.rolled(h, 5)
     assert len(a) == 25 and len(set(a.tolist())) == 25
     assert (T.rolled(h[3:], 5) == a[3:]).all()
+
+
+def test_long_words_are_told_apart():
+    """Bytes that are 65,536 places apart, exchanged."""
+    a = bytearray(b"x" * 140_000)
+    a[10], a[10 + 65_536] = ord("a"), ord("b")
+    b = bytearray(a)
+    b[10], b[10 + 65_536] = ord("b"), ord("a")
+    hashes = [T.words(np.frombuffer(bytes(x), np.uint8), np.array([0, len(x)]), T.EXACT).hash[0] for x in (a, b)]
+    assert hashes[0] != hashes[1]
