@@ -109,9 +109,12 @@ class Shard:
             edge = np.diff(np.concatenate([[0], covered.view(np.int8), [0]]))
             a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             owner, start, end = doc[a], word[a], word[b - 1] + 1
+            # A window counts once for a document before it stands for all its items.
+            once = np.unique(doc[at] * len(w.lengths) + pattern)
+            per_doc, pattern = np.divmod(once, len(w.lengths))
             per = w.first[pattern + 1] - w.first[pattern]
             item = w.items[np.repeat(w.first[pattern] - np.cumsum(per) + per, per) + np.arange(per.sum())]
-            pairs = np.unique(np.repeat(doc[at], per) * len(w.ids) + item)
+            pairs = np.unique(np.repeat(per_doc, per) * len(w.ids) + item)
         span_first = np.searchsorted(owner, np.arange(self.docs + 1)).astype(np.int32)
         spans = pa.ListArray.from_arrays(pa.array(span_first), pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], fields=list(_SPAN)))
         pair_first = np.searchsorted(pairs, np.arange(self.docs + 1) * len(w.ids)).astype(np.int32)
@@ -125,13 +128,14 @@ def _searched(docs: DataFrame, windows: Windows) -> DataFrame:
     schema = Y.StructType([*docs.schema.fields, Y.StructField("found", Y._parse_datatype_string(FOUND))])
 
     def run(batches):
-        held, shard = [], Shard(windows)
+        held, shard, others = [], Shard(windows), 0
         for b in batches:
             held.append(b)
+            others += b.nbytes
             shard.add(b.column("text"))
-            if shard.bytes >= SHARD_BYTES or shard.kept >= SHARD_WORDS:
+            if others >= 2 * SHARD_BYTES or shard.bytes >= SHARD_BYTES or shard.kept >= SHARD_WORDS:
                 yield from flushed(held, shard)
-                held, shard = [], Shard(windows)
+                held, shard, others = [], Shard(windows), 0
         yield from flushed(held, shard)
 
     def flushed(held, shard):
