@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .shared import cut, fresh_dir
 
 GAP_BYTES, READ_BYTES = 65_536, 8_000_000
+SALTS = 32  #: parts in which the copies of a payload are dealt to writers
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 
 
@@ -110,19 +111,24 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         if out is not None:
             out.close()
 
-    return cut(pages.join(first, "hash", "left").select("page_id", "url", "html", "first").mapInArrow(run, INDEX))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return cut(salted.join(first, ["hash", "salt"], "left").select("page_id", "url", "html", "first").mapInArrow(run, INDEX))
 
 
 def ranges(index: DataFrame) -> DataFrame:
     """(file, start, parts): sorted records of a file that are read at once; parts are (offset, length).
 
-    Neighbours join unless more than GAP_BYTES lie between them; a read ends at a multiple of READ_BYTES.
+    Neighbours join unless more than GAP_BYTES lie between them; a read ends at a multiple of READ_BYTES. There is a task for each READ_BYTES of
+    records, as rows of the index say nothing of how much there is to read.
     """
     stripe = F.floor(F.col("offset") / READ_BYTES)
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES
     by = Window.partitionBy("file", "stripe").orderBy("offset")
     end_before = F.lag(F.col("offset") + F.col("length")).over(by)
     new = F.when(F.col("offset") - end_before <= GAP_BYTES, 0).otherwise(1)
-    runs = index.select("file", "offset", "length", stripe.alias("stripe")).withColumn("run", new).withColumn("run", F.sum("run").over(by))
+    dealt = index.select("file", "offset", "length", stripe.alias("stripe")).repartition(tasks, "file", "stripe")
+    runs = dealt.withColumn("run", new).withColumn("run", F.sum("run").over(by))
     return runs.groupBy("file", "stripe", "run").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("parts")).select("file", F.element_at("parts", 1).offset.alias("start"), "parts")
 
 
