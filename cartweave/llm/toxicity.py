@@ -4,8 +4,8 @@ Features of a text are its distinct words, pairs of neighbours, and pairs with o
 FTRL keeps a learning rate for each coordinate and sets to zero what its L1 term doesn't let through, so that the weights that
 scoring tasks get are few. Their size is bounded by the number of places.
 
-Learning reads at most ``MAX_ROWS`` labelled rows of each label, those of the least hash of doc_id: a bounded sample, chosen alike
-at every size. Scoring covers every row.
+Learning reads at most ``MAX_ROWS`` labelled rows of each label, those of the least hash of doc_id, and of these as many as have
+``MAX_BYTES`` of features in all: a bounded sample, chosen alike at every size. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import cut, set_apart
+from .shared import cut, returning, set_apart
 
 BITS = 18
-MAX_ROWS = 6_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.1, 1.0, 20.0, 0.5
+MAX_ROWS, MAX_BYTES = 6_000, 256_000_000
+#: L1 is for the square root of the number of rows, as what noise adds up to grows like that.
+EPOCHS, ALPHA, BETA, L1, L2 = 5, 1.0, 1.0, 0.2, 0.5
 _PUNCTUATION = T.table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), lower=True)
 
 
@@ -53,6 +54,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
     share = labels.mean() if len(labels) else 0.0
+    l1 = L1 * len(rows) ** 0.5
     if share in (0.0, 1.0):
         return np.zeros(1 << BITS), 6.0 * (2 * share - 1) if len(labels) else -6.0
     importance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
@@ -61,7 +63,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
         for r in random.permutation(len(rows)):
             x = rows[r]
             zx, nx = z[x], n[x]
-            w = np.where(np.abs(zx) <= L1, 0.0, (np.sign(zx) * L1 - zx) / ((BETA + np.sqrt(nx)) / ALPHA + L2))
+            w = np.where(np.abs(zx) <= l1, 0.0, (np.sign(zx) * l1 - zx) / ((BETA + np.sqrt(nx)) / ALPHA + L2))
             b = -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA + L2)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -30, 30)))
             g = (p - labels[r]) * importance[r]
@@ -69,14 +71,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
             z[x], n[x] = zx + g - s * w, nx + g * g
             s = (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / ALPHA
             bias_z, bias_n = bias_z + g - s * b, bias_n + g * g
-    return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)), -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA + L2)
+    return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)), -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA + L2)
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = MAX_ROWS) -> dict:
     """The model: places with weights, weights, bias. docs (doc_id, text) and labels (doc_id, label 0 or 1).
 
-    Rows without text or label teach nothing. Of a doc_id with several labels the greatest counts, of several texts each one.
-    The sample is fitted in one task.
+    Rows without text or label teach nothing. Of a doc_id with several labels the greatest counts, of several texts the one whose features come
+    first. The sample is fitted in one task.
     """
     known = labels.select("doc_id", F.col(column).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = None
@@ -92,17 +94,20 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: i
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), x], ["doc_id", "y", "x"])
 
     def run(batches):
-        ids, ys, rows = [], [], []
+        ys, rows, size = [], [], 0
         for b in batches:
-            ids += b.column("doc_id").to_pylist()
-            ys += b.column("y").to_pylist()
-            rows += [np.frombuffer(x, np.uint32) for x in b.column("x").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], rows[i].tobytes()))
-        w, bias = fit([rows[i] for i in order], np.array([ys[i] for i in order], np.float64))
+            for y, x in zip(b.column("y").to_pylist(), b.column("x").to_pylist(), strict=True):
+                size += len(x)
+                if size <= MAX_BYTES:
+                    ys.append(y)
+                    rows.append(np.frombuffer(x, np.uint32))
+        w, bias = fit(rows, np.array(ys, np.float64))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["place", "weight"])
 
-    sample = texts.mapInArrow(read, "doc_id long, y int, x binary").repartition(1)
+    # One row for each chosen doc_id, whatever number of texts it has; summed before the shuffle.
+    sample = texts.mapInArrow(returning(read), "doc_id long, y int, x binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("y", "x")
     got = sample.mapInArrow(run, "place long, weight double").toArrow()
     if not got.num_rows:
         return {"place": np.zeros(0, np.int64), "weight": np.zeros(0), "bias": -6.0}
@@ -131,7 +136,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 out.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out))], [*b.schema.names, "toxicity"])
 
-    return back(docs.mapInArrow(run, schema), "toxicity")
+    return back(docs.mapInArrow(returning(run), schema), "toxicity")
 
 
 def held_out() -> Column:
@@ -140,7 +145,10 @@ def held_out() -> Column:
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    Null and empty texts have the score of the bias. Rows without doc_id are held out; repeated rows each have their own result.
+    """
     model = learn(docs, labels.where(~held_out()))
     out = score(docs.select("doc_id", "text", held_out().alias("held_out")), model)
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))

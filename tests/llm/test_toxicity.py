@@ -57,6 +57,44 @@ def test_scores_as_row_by_row(tables, corpus):
         assert got[text] == pytest.approx(1 / (1 + np.exp(-np.clip(weight[x].sum() + model["bias"], -30, 30))))
 
 
+def test_fit_as_coordinate_by_coordinate():
+    """FTRL-proximal as published: one coordinate at a time, in a dictionary."""
+    r = random.Random(9)
+    rows = [np.unique(np.array([r.randrange(40) for _ in range(r.randrange(12))], np.uint32)) for _ in range(120)]
+    labels = np.array([float(any(x in (3, 7) for x in row) or r.random() < 0.05) for row in rows])
+    share, l1 = labels.mean(), toxicity.L1 * len(rows) ** 0.5
+    z, n, bias = {}, {}, [0.0, 0.0]
+
+    def weight(z, n, l1):
+        return 0.0 if abs(z) <= l1 else -(z - (l1 if z > 0 else -l1)) / ((toxicity.BETA + n**0.5) / toxicity.ALPHA + toxicity.L2)
+
+    def learnt(z, n, g, w):
+        return z + g - ((n + g * g) ** 0.5 - n**0.5) / toxicity.ALPHA * w, n + g * g
+
+    order = np.random.default_rng(1)
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(rows)):
+            own = {x: weight(z.get(x, 0.0), n.get(x, 0.0), l1) for x in rows[k].tolist()}
+            b = weight(*bias, 0.0)
+            p = 1 / (1 + np.exp(-np.clip(sum(own.values()) + b, -30, 30)))
+            g = (p - labels[k]) * (0.5 / share if labels[k] else 0.5 / (1 - share))
+            for x, w in own.items():
+                z[x], n[x] = learnt(z.get(x, 0.0), n.get(x, 0.0), g, w)
+            bias = learnt(*bias, g, b)
+    got, b = toxicity.fit(rows, labels)
+    assert [got[x] for x in range(40)] == pytest.approx([weight(z.get(x, 0.0), n.get(x, 0.0), l1) for x in range(40)]) and b == pytest.approx(weight(*bias, 0.0))
+    assert np.count_nonzero(got) < 40 and got[[3, 7]].min() > 0.5
+
+
+def test_one_text_for_each_doc_id(spark, tables):
+    """Any number of rows with a doc_id teach as one row does."""
+    docs, labels = tables
+    some = docs.where("doc_id >= 100").orderBy("doc_id").limit(200)
+    again = some.union(some).union(some.where("doc_id = 100")).union(some.where("doc_id = 101").withColumn("text", F.concat("text", F.lit(" zzz"))))
+    one, more = toxicity.learn(some.where("doc_id <> 101"), labels), toxicity.learn(again.where("doc_id <> 101"), labels)
+    assert one["place"].tolist() == more["place"].tolist() and one["weight"].tolist() == more["weight"].tolist()
+
+
 def test_features_are_words_pairs_and_skips():
     rows = list(toxicity._rows(pa.array(["one two three", "One, TWO; three!", "three", None, "one three"])))
     assert len(rows[0]) == 3 + 2 + 1 and (rows[0] == rows[1]).all() and len(rows[2]) == 1 and len(rows[3]) == 0 and len(rows[4]) == 3
