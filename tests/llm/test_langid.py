@@ -97,10 +97,20 @@ def test_small_tables(spark, table):
 
 
 def test_columns_pass(table, with_clashes, own_columns):
-    own_columns(langid.predict(with_clashes(table), {}), but={"lang_pred", "lang_score"})
+    own_columns(langid.predict(with_clashes(table), langid.learn(table.limit(0))), but={"lang_pred", "lang_score"})
 
 
-def test_too_many_languages(table, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
-    with pytest.raises(ValueError, match="more than 2"):
-        langid.learn(table)
+@pytest.mark.parametrize("block", [1, 3])
+def test_languages_in_blocks(table, corpus, monkeypatch, block):
+    """With more languages than are sent to tasks at once the result is the same."""
+    monkeypatch.setattr(langid, "LANGUAGES", block)
+    got = sorted((tuple(r) for r in langid.report(table).collect()), key=str)
+    want = brute(corpus, langid.PROFILE)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def test_any_number_of_languages(spark, table, monkeypatch):
+    """A column of languages that is as good as an id."""
+    monkeypatch.setattr(langid, "LANGUAGES", 50)
+    rows = langid.report(table.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id")))).collect()
+    assert len(rows) == table.count() and all(0 <= r["score"] <= 1 for r in rows)

@@ -107,4 +107,4 @@ def test_documents_stay_where_no_language_is_learnt(spark, folder):
 
 def test_no_language_is_learnt_from_the_fold(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
-    assert langid.learn(docs) == {}
+    assert list(langid.learn(docs)) == [{}]
