@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import set_apart
+from .shared import returning, set_apart, text_bytes
 
 LEAST, NORMAL, MOST = 12, 40, 160
+RANGE_BYTES = 64_000_000
 HARD, EASY = np.uint32(0xFC000000), np.uint32(0xF0000000)
 _GEAR = (T.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _POWER = np.multiply.accumulate(np.full(MOST, 0x9E3779B97F4A7C15, np.uint64))
@@ -115,48 +116,74 @@ def fingerprints(docs: DataFrame, column: str = "fingerprint") -> DataFrame:
             out = [written(x) for _, _, data, offsets in T.chunks(b.column("text")) for x in chunk_sets(data, offsets)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, column])
 
-    return back(docs.mapInArrow(run, schema), column)
+    return back(docs.mapInArrow(returning(run), schema), column)
+
+
+class Ranges:
+    """Ranges of rows by descending key, then ascending hash, that keys of many rows are split into as well."""
+
+    def __init__(self, quantiles: np.ndarray):
+        """quantiles: keys at equal distances in rank; one that comes m times is cut m times by hash."""
+        key, many = np.unique(quantiles, return_counts=True)
+        key, many = key[::-1], many[::-1]
+        self.key, self.first = ~key, np.concatenate([[0], np.cumsum(many)])
+        self.hash = np.concatenate([np.zeros(0, np.int64), *((np.arange(m, dtype=np.float64) / m * 2.0**64 - 2.0**63).astype(np.int64) for m in many)])
+
+    def of(self, key: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        """The range of each row, that is how many cuts come before it or stand at it."""
+        at = np.searchsorted(self.key, ~key)  # ~ turns the order of whole numbers round
+        out = self.first[at]
+        if len(self.key):
+            on = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] == ~key)
+            for k in np.unique(at[on]).tolist():
+                own = on[at[on] == k]
+                out[own] += np.searchsorted(self.hash[self.first[k] : self.first[k + 1]], hash_[own], "right")
+        return out
 
 
 def report(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """For each row of docs (doc_id, text) its fingerprint, that of its edited text, and likenesses.
 
     The edited text has the last floor(n_chars/2) code points replaced by the first as many (or all) of the next document, by
-    descending doc_id, after the last the first. Rows without doc_id come last; of rows with the same doc_id the order is by text.
-    Texts are dealt once, by ranges of doc_id; a range also gets the first row of the next one.
+    descending doc_id, after the last the first. Rows without doc_id come last; of rows with the same doc_id, or none, the order is by a hash of the text,
+    then by text. Texts are dealt once, by ranges of this order, of equal numbers of rows whatever doc_ids they have; a range also gets the first row of the
+    next one. Null texts count as empty, repeated rows each have their own result.
     """
     spark, lowest = docs.sparkSession, -(2**63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("key", F.xxhash64("text").alias("hash"), "doc_id", "text")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // RANGE_BYTES))
     buckets = buckets or 4 * tasks
     cuts = docs.approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
-    cuts = np.unique(np.array(cuts, np.int64))
-    of = lambda keys: len(cuts) - np.searchsorted(cuts, keys, "right")  # noqa: E731  range 0 has the highest doc_ids
+    ranges = Ranges(np.array(cuts, np.int64))
 
-    def highest(batches):
+    def firsts_of(batches):
         for b in batches:
-            keys = b.column("key").to_numpy()
-            got, at = np.unique(of(keys), return_inverse=True)
-            top = np.full(len(got), lowest, np.int64)
-            np.maximum.at(top, at, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), pa.array(top)], ["range", "key"])
+            key, hash_ = b.column("key").to_numpy(), b.column("hash").to_numpy()
+            of = ranges.of(key, hash_)
+            order = np.lexsort((hash_, ~key, of))
+            got = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
+            yield pa.RecordBatch.from_arrays([pa.array(of[got], pa.int32()), pa.array(~key[got]), pa.array(hash_[got])], ["range", "turned", "hash"])
 
     # One row for each range.
-    tops = sorted((r["range"], r["key"]) for r in docs.select("key").mapInArrow(highest, "range int, key long").groupBy("range").agg(F.max("key").alias("key")).collect())
+    first = docs.select("key", "hash").mapInArrow(firsts_of, "range int, turned long, hash long").groupBy("range").agg(F.min(F.struct("turned", "hash")).alias("first"))
+    tops = sorted((r["range"], ~r["first"]["turned"], r["first"]["hash"]) for r in first.collect())
     #: The first documents of a range also go to the range before it, those of the first to the last one.
-    extra = {key: tops[i - 1][0] for i, (_, key) in enumerate(tops)}
-    firsts = pa.array(list(extra), pa.int64())
+    extra = {(key, hash_): tops[i - 1][0] for i, (_, key, hash_) in enumerate(tops)}
+    firsts = pa.array(sorted({h for _, h in extra}), pa.int64())
 
     def deal(batches):
         import pyarrow.compute as pc
 
-        names = ["range", "guest", "key", "doc_id", "text"]
+        names = ["range", "guest", "key", "hash", "doc_id", "text"]
         for b in batches:
-            own = pa.array(of(b.column("key").to_numpy()), pa.int32())
+            own = pa.array(ranges.of(b.column("key").to_numpy(), b.column("hash").to_numpy()), pa.int32())
             yield pa.RecordBatch.from_arrays([own, pa.array(np.zeros(b.num_rows, bool)), *b.columns], names)
-            guests = b.filter(pc.is_in(b.column("key"), firsts))
+            guests = b.filter(pc.is_in(b.column("hash"), firsts))
+            to = [extra.get(x) for x in zip(guests.column("key").to_pylist(), guests.column("hash").to_pylist(), strict=True)]
+            there = pa.array([x is not None for x in to], pa.bool_())
+            guests, to = guests.filter(there), pa.array([x for x in to if x is not None], pa.int32())
             if guests.num_rows:
-                to = pa.array([extra[k] for k in guests.column("key").to_pylist()], pa.int32())
                 yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(guests.num_rows, bool)), *guests.columns], names)
 
     def judge(batches):
@@ -188,6 +215,6 @@ def report(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    dealt = docs.mapInArrow(deal, "range int, guest boolean, key long, doc_id long, text string").repartition(tasks, "range")
-    dealt = dealt.sortWithinPartitions("range", "guest", F.desc("key"), "text").select("range", "guest", "doc_id", "text")
-    return dealt.mapInArrow(judge, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = docs.mapInArrow(returning(deal), "range int, guest boolean, key long, hash long, doc_id long, text string").repartition(tasks, "range")
+    dealt = dealt.sortWithinPartitions("range", "guest", F.desc("key"), "hash", "text").select("range", "guest", "doc_id", "text")
+    return dealt.mapInArrow(returning(judge), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -102,3 +102,27 @@ def test_written_and_read(prose):
 def test_columns_pass(frame, odd_rows, with_clashes, own_columns):
     rows = own_columns(fp.fingerprints(with_clashes(frame(odd_rows))), but={"fingerprint"})
     assert {r["fingerprint"] for r in rows if not r["text"]} == {""}
+
+
+def test_ranges_split_one_key():
+    """Most rows have one key: its rows come into several ranges, in order of hash, and all ranges are in order."""
+    r = np.random.default_rng(1)
+    key = np.where(r.random(5000) < 0.6, 7, r.integers(-50, 50, 5000))
+    hash_ = r.integers(-(2**63), 2**63, 5000, dtype=np.int64)
+    ranges = fp.Ranges(np.quantile(key, np.arange(1, 20) / 20, method="nearest").astype(np.int64))
+    of = ranges.of(key, hash_)
+    assert np.bincount(of, minlength=20).max() < 700 and len(np.unique(of[key == 7])) > 8
+    order = np.lexsort((hash_, -key))
+    assert (np.diff(of[order]) >= 0).all()
+
+
+def test_rows_without_doc_id(spark, frame, prose):
+    """Rows of one key are a chain by hash across ranges."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, prose(i, 30)) for i in range(120)] + [(i, prose(1000 + i, 30)) for i in range(30)]
+    docs = frame(rows)
+    order = [r["text"] for r in docs.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text").collect()]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(order))
+    for buckets in (1, 16):
+        assert sorted(r["edited_sha256"] for r in fp.report(docs, buckets).collect()) == want
