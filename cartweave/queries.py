@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartweave import views
@@ -12,10 +12,12 @@ from cartweave.functions import o5m
 from cartweave.functions import opl as opl_text
 from cartweave.functions import tags as tag_functions
 from cartweave.operators.filters import apply_filters
-from cartweave.operators.sinks import write, written_lines
+from cartweave.operators.sinks import documents, write, written_lines
 from cartweave.operators.workspace import fresh_path
+from cartweave.schema import Metadata
 from cartweave.sources import json as json_source
 from cartweave.sources import opl, pbf, pbf_encode, xml
+from cartweave.sources.registry import read_osm
 
 Query = Callable[[SparkSession, str], DataFrame]
 HEAD = "OSMFilter v0.2.0\n\n"
@@ -227,10 +229,8 @@ def relations_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return xml.read(spark, path).select("id", F.col("tags")["name"].alias("tag_name"), F.explode("members").alias("m")).select("id", "tag_name", F.col("m.ref").alias("ref"), F.col("m.type").alias("member_type"), F.col("m.role").alias("role"))
 
 
-@query("pbf_read", f"WITH {EVENTS} SELECT type, id, lat, lon, {_TAGS} FROM e")
-def pbf_read(spark: SparkSession, d: str) -> DataFrame:
-    """Executors encode a file for each partition, and the source reads them."""
-    path = fresh_path(spark, "pbf")
+def _pbf_files(elements: DataFrame, path: str, dense: bool = True) -> None:
+    """Executors encode a file for each partition."""
 
     def encode(batches):
         from pyarrow import fs
@@ -246,14 +246,216 @@ def pbf_read(spark: SparkSession, d: str) -> DataFrame:
             for b in batches:
                 rows = b.to_pylist()
                 for i in range(0, len(rows), 8000):
-                    f.write(pbf_encode.block([r | {"tags": dict(r["tags"])} for r in rows[i : i + 8000]]))
+                    f.write(pbf_encode.block([r | {"tags": dict(r["tags"])} for r in rows[i : i + 8000]], dense))
         system.move(temporary, f"{where}/{task.partitionId()}.osm.pbf")
         yield from ()
 
-    views.events(spark, d).select("type", "id", "lat", "lon", "tags").mapInArrow(encode, "done int").count()
+    elements.mapInArrow(encode, "done int").count()
+
+
+@query("pbf_read", f"WITH {EVENTS} SELECT type, id, lat, lon, {_TAGS} FROM e")
+def pbf_read(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "pbf")
+    _pbf_files(views.events(spark, d).select("type", "id", "lat", "lon", "tags"), path)
     return pbf.read(spark, path).select("type", "id", "lat", "lon", *(F.col("tags")[k].alias(f"tag_{k}") for k in ("event_type", "k", "note")), F.size("tags").cast("bigint").alias("n_tags"))
 
 
+# All types of elements in one document
+
+
+def _shapes(elements: DataFrame) -> DataFrame:
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)).cast("bigint"), F.lit(0))
+    return elements.select("type", "id", size("tags").alias("n_tags"), size("nodes").alias("n_nodes"), size("members").alias("n_members"), F.coalesce(F.get("nodes", F.lit(0)), F.lit(-1).cast("bigint")).alias("first_node"))
+
+
+def _mixed(name: str, fmt: str, extension: str, single: bool = True) -> None:
+    """Nodes, ways and relations written into one path and read by the format that its name says."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = f"{fresh_path(spark, name)}.{extension}"
+        write(views.all_elements(spark, d), path, fmt, single=single)
+        return _shapes(read_osm(spark, path)[0])
+
+    query(name, _SQL["scan_elements"])(run)
+
+
+_mixed("mixed_opl", "opl", "opl", single=False)
+_mixed("mixed_json", "json", "json")
+_mixed("mixed_overpass", "overpass", "json")
+_mixed("mixed_xml", "xml", "osm")
+_mixed("mixed_xml_parts", "xml", "xml", single=False)
+
+
+@query("mixed_pbf", _SQL["scan_elements"])
+def mixed_pbf(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{fresh_path(spark, 'mixed')}.pbf"
+    _pbf_files(views.all_elements(spark, d).select("type", "id", "lat", "lon", "tags", "nodes", "members"), path, dense=False)
+    return _shapes(read_osm(spark, path, "pbf")[0])
+
+
+@query("xml_grouping", "SELECT * FROM (VALUES ('node', 1), ('way', 2), ('relation', 3)) AS t(type, place)")
+def xml_grouping(spark: SparkSession, d: str) -> DataFrame:
+    """The order in which types first stand in a document whose elements come mixed; that they don't come back is counted by mixed_xml."""
+    path = fresh_path(spark, "grouping")
+    mixed = views.regions(spark, d).unionByName(views.events(spark, d)).unionByName(views.orders(spark, d))
+    write(mixed, path, "xml")
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_extract("value", "<(node|way|relation) ", 1).alias("type"))
+    span = lines.where("type <> ''").groupBy("type").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    before = span.alias("a").join(span.alias("b"), F.col("b.last") < F.col("a.first"), "left").groupBy("a.type").agg(F.count("b.type").alias("n"))
+    return before.select("type", (F.col("n") + 1).cast("int").alias("place"))
+
+
+_MEMBERS_SQL = """WITH m AS (SELECT s_nationkey AS id, 0 AS r, s_suppkey AS ref FROM supplier UNION ALL SELECT c_nationkey, 1, c_custkey FROM customer)
+SELECT CAST(id AS BIGINT) AS id, 'node' AS member_type, ref, CASE r WHEN 0 THEN 'supplier' ELSE 'customer' END AS role, CAST(row_number() OVER (PARTITION BY id ORDER BY r, ref) AS INTEGER) AS place FROM m"""
+
+
+def _members(name: str, fmt: str, extension: str) -> None:
+    """Members of relations in their order, with their roles."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = f"{fresh_path(spark, name)}.{extension}"
+        write(views.nations(spark, d), path, fmt, single=fmt != "opl")
+        rows = read_osm(spark, path)[0].select("id", F.posexplode("members").alias("i", "m"))
+        return rows.select("id", F.col("m.type").alias("member_type"), F.col("m.ref").alias("ref"), F.col("m.role").alias("role"), (F.col("i") + 1).alias("place"))
+
+    query(name, _MEMBERS_SQL)(run)
+
+
+_members("members_opl", "opl", "opl")
+_members("members_json", "json", "json")
+_members("members_xml", "xml", "xml")
+
+
+@query("members_pbf", _MEMBERS_SQL)
+def members_pbf(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "members")
+    _pbf_files(views.nations(spark, d).select("type", "id", "tags", "members"), path)
+    rows = pbf.read(spark, path).select("id", F.posexplode("members").alias("i", "m"))
+    return rows.select("id", F.col("m.type").alias("member_type"), F.col("m.ref").alias("ref"), F.col("m.role").alias("role"), (F.col("i") + 1).alias("place"))
+
+
+@query("part_views", "SELECT p_partkey AS id, p_size AS version, p_name AS tag_name, p_brand AS tag_brand, CAST(4 AS BIGINT) AS n_tags, 1.5 AS lat, -2.25 AS lon FROM part")
+def part_views(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{fresh_path(spark, 'parts')}.xml"
+    write(views.parts(spark, d), path, "xml", single=False)
+    return read_osm(spark, path)[0].select("id", "version", F.col("tags")["name"].alias("tag_name"), F.col("tags")["brand"].alias("tag_brand"), F.size("tags").cast("bigint").alias("n_tags"), "lat", "lon")
+
+
+_META = Metadata(version="0.6", generator='cart & "weave" <1>', copyright="© some, 文", license="free", timestamp="2024-05-06T07:08:09Z")
+
+
+@query(
+    "metadata_roundtrip",
+    """SELECT f AS format, '0.6' AS version, 'cart & "weave" <1>' AS generator, '© some, 文' AS copyright, CASE WHEN f <> 'overpass' THEN 'free' END AS license, CASE WHEN f = 'overpass' THEN '2024-05-06T07:08:09Z' END AS timestamp, n FROM (VALUES ('json'), ('overpass'), ('xml')) AS t(f), (SELECT count(*) AS n FROM region)""",
+)
+def metadata_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """What a document says of itself, as each format can say it, and how many elements it has."""
+    out = None
+    for fmt in ("json", "overpass", "xml"):
+        path = fresh_path(spark, "metadata")
+        write(views.regions(spark, d), path, fmt, _META)
+        elements, meta = read_osm(spark, path, "xml" if fmt == "xml" else "json")
+        row = elements.agg(F.count("*").alias("n")).select(F.lit(fmt).alias("format"), *(F.lit(v).cast("string").alias(k) for k, v in meta.as_dict().items()), "n")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("xml_bounds", "SELECT c_custkey AS id, c_name AS tag_name, CAST(1 AS BIGINT) AS n_tags FROM customer")
+def xml_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with bounds, which are ignored."""
+    path = fresh_path(spark, "bounds")
+    line = F.format_string('<node id="%d" lat="1" lon="2"><tag k="name" v="%s"/></node>', "id", F.col("tags")["name"])
+    start = '<?xml version="1.0"?><osm version="0.6"><bounds minlat="1" minlon="2" maxlat="3" maxlon="4"/>'
+    documents(views.customers(spark, d).select("type", line.alias("value")), start, "</osm>", "xml").write.text(path)
+    return xml.read(spark, path).select("id", F.col("tags")["name"].alias("tag_name"), F.size("tags").cast("bigint").alias("n_tags"))
+
+
+_BAD = "CASE WHEN event_id % 10 = 0 THEN 'v1 Tno=id' WHEN event_id % 10 = 1 THEN 'n' || event_id || ' d?' WHEN event_id % 10 = 2 THEN 'w' || event_id || ' x1 y2' WHEN event_id % 10 = 3 THEN 'n' || event_id || ' ix' ELSE 'n' || event_id || ' x1 y2' END"
+
+
+@query("opl_errors_drop", "SELECT event_id AS id FROM events WHERE event_id % 10 > 3")
+def opl_errors_drop(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/events.parquet").selectExpr(f"{_BAD} AS value")
+    return opl.elements(lines, errors="drop").select("id")
+
+
+@query("opl_errors_keep", f"SELECT {_BAD} AS line, CASE event_id % 10 WHEN 0 THEN 'no element id at the start' WHEN 1 THEN 'visible is neither V nor D' WHEN 2 THEN 'fields of another type of element' WHEN 3 THEN 'bad number' END AS error FROM events")
+def opl_errors_keep(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/events.parquet").selectExpr(f"{_BAD} AS value")
+    return opl.elements(lines, errors="keep").select("line", "error")
+
+
+# o5m with places
+
+
+@query("o5m_order", f"WITH {EVENTS}, {ORDERS}, {REGIONS} SELECT type, id, row_number() OVER (ORDER BY CASE type WHEN 'node' THEN 0 WHEN 'way' THEN 1 ELSE 2 END, id) AS place FROM (SELECT type, id FROM e UNION ALL SELECT type, id FROM o UNION ALL SELECT type, id FROM r)")
+def o5m_order(spark: SparkSession, d: str) -> DataFrame:
+    """Each element's place in the order: within its partition, after all partitions before it."""
+    path = fresh_path(spark, "order")
+    o5m.ordered(views.all_elements(spark, d)).select("type", "id", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    rows = spark.read.parquet(path).select("type", "id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))  # one row for each partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return rows.join(before, "part").select("type", "id", (F.col("before") + F.col("row") + 1).alias("place"))
+
+
+_VARINT = "CASE WHEN id < 128 THEN printf('%02x', id) WHEN id < 16384 THEN printf('%02x%02x', id % 128 + 128, id // 128) ELSE printf('%02x%02x%02x', id % 128 + 128, id // 128 % 128 + 128, id // 16384) END"
+
+
+@query("o5m_user", f"SELECT id, lower('00' || {_VARINT} || '00' || hex(encode(name)) || '00') AS bytes FROM (SELECT c_custkey AS id, c_name AS name FROM customer)")
+def o5m_user(spark: SparkSession, d: str) -> DataFrame:
+    return views.customers(spark, d).select("id", F.lower(F.hex(o5m.user(F.col("id"), F.col("tags")["name"]))).alias("bytes"))
+
+
+@query("o5m_header", f"SELECT type, id, kind || {_VARINT} || '00' AS bytes FROM (SELECT 'way' AS type, o_orderkey AS id, '11' AS kind FROM orders UNION ALL SELECT 'relation', r_regionkey, '12' FROM region UNION ALL SELECT 'node', c_custkey, '10' FROM customer)")
+def o5m_header(spark: SparkSession, d: str) -> DataFrame:
+    some = views.orders(spark, d).unionByName(views.regions(spark, d)).unionByName(views.customers(spark, d))
+    return o5m.header(some).select("type", "id", F.lower(F.hex("bytes")).alias("bytes"))
+
+
+@query(
+    "o5m_string_table",
+    """WITH s AS (SELECT c_nationkey AS writer, c_custkey AS id, c_mktsegment AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer
+), f AS (SELECT writer, x, min(i) AS i FROM s GROUP BY 1, 2
+), g AS (SELECT s.writer, s.id, s.x, s.i, f.i AS own, (SELECT count(*) FROM f h WHERE h.writer = s.writer AND h.i > f.i AND h.i <= s.i) AS newer FROM s JOIN f ON f.writer = s.writer AND f.x = s.x)
+SELECT id, CASE WHEN i > own THEN CAST(newer + 1 AS INTEGER) END AS place FROM g""",
+)
+def o5m_string_table(spark: SparkSession, d: str) -> DataFrame:
+    """One writer for each nation, which sends its customers' segments in order of id: null is a new string."""
+
+    def run(group):
+        import pandas as pd
+
+        table, group = o5m.StringTable(), group.sort_values("id")
+        return pd.DataFrame({"id": group["id"], "place": pd.array([table.place(x.encode()) for x in group["segment"]], "Int32")})
+
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_nationkey AS writer", "c_custkey AS id", "c_mktsegment AS segment")
+    return rows.groupBy("writer").applyInPandas(run, "id long, place int")
+
+
+# Grammar, and CEL on times and lists
+
+
+_on_events(
+    "grammar_plain_header", 'OSMFilter 0.2.0\n\nHAS "note"\n\tEQUALS "event_type" "error" # trailing\n\t\tSET "a" "1"\n\t# alone\nDELETE "k", "absent"\n\n',
+    f"SELECT type, id, note AS tag_note, CASE WHEN note IS NOT NULL AND event_type = 'error' THEN '1' END AS tag_a, CAST({_N} - CASE WHEN k IS NULL THEN 0 ELSE 1 END + CASE WHEN note IS NOT NULL AND event_type = 'error' THEN 1 ELSE 0 END AS BIGINT) AS n_tags FROM e", ("note", "a"),
+)
+_on_events("grammar_newlines", 'OSMFilter v0.2.0\r\n\r\nTYPE node, way\r\n\tSET "b" "2"\r\nTYPE relation\r\n\tDROP\r\n', f"SELECT type, id, '2' AS tag_b, CAST(1 + {_N} AS BIGINT) AS n_tags FROM e", ("b",))
+_on_events("grammar_raw_strings", f'{HEAD}SET "a b" "c\\\\d \\u0041"\n', f"SELECT type, id, 'c\\\\d \\u0041' AS \"tag_a b\", CAST(1 + {_N} AS BIGINT) AS n_tags FROM e", ("a b",))
+_on_events("grammar_other_version", f'OSMFilter v9.9.9\n\nEQUALS "event_type" "view"{_KEEP_ONLY}', f"SELECT type, id, {_TAGS} FROM e WHERE event_type = 'view'")
+
+
+def _cel_events(name: str, text: str, where: str) -> None:
+    query(name, f"WITH {EVENTS} SELECT id FROM e WHERE {where}")(lambda spark, d: apply_filters(views.events(spark, d), [text]).select("id"))
+
+
+_cel_events("cel_timestamp", "timestamp(timestamp) >= timestamp('2024-01-10T00:00:00Z') && timestamp(timestamp) - timestamp('2024-01-01T00:00:00Z') < duration('480h')", "stamp >= '2024-01-10T00:00:00Z' AND stamp < '2024-01-21T00:00:00Z'")
+_cel_events("cel_timestamp_text", "timestamp > '2024-01-15' && timestamp.endsWith('Z')", "stamp > '2024-01-15'")
+_cel_events("cel_map_filter", "tags.filter(k, k != 'k').size() == 2 && ['a', 'b'].map(x, x + '1') == ['a1', 'b1'] && tags.map(k, size(k)).exists(n, n == 4)", "note IS NOT NULL")
+_cel_events("cel_has_some", "has(tags.note)", "note IS NOT NULL")
+_cel_events("cel_missing_key_or", "tags.note == 'check' || tags.event_type == 'click'", "note IS NOT NULL OR event_type = 'click'")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -68,5 +68,23 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(joined.select(F.lit("relation").alias("type"), F.col("r_regionkey").alias("id"), _tags(name=F.col("r_name")).alias("tags"), F.coalesce("members", F.expr("cast(array() as array<struct<type:string,ref:bigint,role:string>>)")).alias("members")))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes whose version is the size of a part."""
+    p = _table(spark, sf_dir, "part")
+    tags = _tags(name=F.col("p_name"), brand=F.col("p_brand"), type=F.col("p_type"), size=F.col("p_size"))
+    return conform(p.select(F.lit("node").alias("type"), F.col("p_partkey").alias("id"), F.col("p_size").alias("version"), tags.alias("tags"), F.lit(1.5).alias("lat"), F.lit(-2.25).alias("lon")))
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of the suppliers and then the customers of a nation."""
+    n, r, s, c = (_table(spark, sf_dir, x) for x in ("nation", "region", "supplier", "customer"))
+    both = s.select(F.col("s_nationkey").alias("nation"), F.lit(0).alias("rank"), F.col("s_suppkey").alias("ref")).union(c.select("c_nationkey", F.lit(1), "c_custkey"))
+    member = lambda m: F.struct(F.lit("node").alias("type"), m["ref"].alias("ref"), F.when(m["rank"] == 0, "supplier").otherwise("customer").alias("role"))
+    members = both.groupBy("nation").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "ref"))), member).alias("members"))
+    joined = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(members, F.col("n_nationkey") == F.col("nation"), "left")
+    none = F.expr("cast(array() as array<struct<type:string,ref:bigint,role:string>>)")
+    return conform(joined.select(F.lit("relation").alias("type"), F.col("n_nationkey").cast("bigint").alias("id"), _tags(name=F.col("n_name"), region=F.col("r_name")).alias("tags"), F.coalesce("members", none).alias("members")))
+
+
 def all_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).unionByName(orders(spark, sf_dir)).unionByName(regions(spark, sf_dir))
