@@ -7,14 +7,15 @@ import logging
 import os
 import shutil
 import sys
-import tempfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 from cartweave.errors import EngineError
 from cartweave.operators.filters import compile_filter
 from cartweave.operators.sinks import write
+from cartweave.operators.workspace import fresh_path
 from cartweave.sources.registry import read_osm, resolve
 
 log = logging.getLogger("cartweave")
@@ -47,23 +48,26 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 2
     log.info("from %s to %s", source_format, target_format)
-    with tempfile.TemporaryDirectory() as own:
-        source, target = args.input, args.output
-        if source is None:
-            source = f"{own}/in.{source_format}"
-            with open(source, "wb") as f:
+    spark = SparkSession.builder.appName("cartweave").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    # Standard input and output go through the folder that executors see too.
+    own = fresh_path(spark, "convert")
+    source, target = args.input or f"{own}/in.{source_format}", args.output or f"{own}/out.{target_format}"
+    system, where = fs.FileSystem.from_uri(own) if None in (args.input, args.output) else (None, None)
+    try:
+        if args.input is None:
+            system.create_dir(where, recursive=True)
+            with system.open_output_stream(f"{where}/in.{source_format}") as f:
                 shutil.copyfileobj(sys.stdin.buffer, f)
-        if target is None:
-            target = f"{own}/out.{target_format}"
-        spark = SparkSession.builder.appName("cartweave").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-        try:
-            convert(spark, source, target, args.filter, source_format, target_format)
-        except EngineError as e:
-            print(f"{type(e).__name__}: {e}", file=sys.stderr)
-            return 2
+        convert(spark, source, target, args.filter, source_format, target_format)
         if args.output is None:
-            with open(target, "rb") as f:
+            with system.open_input_stream(f"{where}/out.{target_format}") as f:
                 shutil.copyfileobj(f, sys.stdout.buffer)
+    except EngineError as e:
+        print(f"{type(e).__name__}: {e}", file=sys.stderr)
+        return 2
+    finally:
+        if system is not None and system.get_file_info(where).type != fs.FileType.NotFound:
+            system.delete_dir(where)
     return 0
 
 

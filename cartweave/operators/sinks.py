@@ -55,8 +55,13 @@ def json_header(meta: Metadata, overpass: bool) -> str:
     return "{" + ",".join(out) + ',"elements":['
 
 
+#: Characters that no XML document may hold, not even as entities.
+_NOT_XML = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
+
+
 def _xml_text(c: Column) -> Column:
-    """As an attribute's value, white space included."""
+    """As an attribute's value, white space included; characters that XML has no way to write become U+FFFD."""
+    c = F.regexp_replace(c, _NOT_XML, "\ufffd")
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
         c = F.replace(c, F.lit(plain), F.lit(entity))
     return c
@@ -109,15 +114,14 @@ def write(elements: DataFrame, path: str, fmt: str, meta: Metadata | None = None
     if ordered:
         elements = ordered_elements(elements)
     if not single:
-        _documents(elements.select("type", line.alias("value")), start, end, fmt).write.mode("overwrite").text(path)
+        documents(elements.select("type", line.alias("value")), start, end, fmt).write.mode("overwrite").text(path)
         return
     spark = elements.sparkSession
     parts = f"{path}.parts-{uuid.uuid4().hex}"
     try:
-        if fmt == "xml":  # three groups in the order of the format
-            for i, kind in enumerate(TYPES):
-                elements.where(F.col("type") == kind).select(line.alias("value")).write.option("lineSep", "\n").text(f"{parts}/{i}")
-            folders = [f"{parts}/{i}" for i in range(len(TYPES))]
+        if fmt == "xml":  # three groups in the order of the format, from one pass
+            elements.select("type", line.alias("value")).write.partitionBy("type").option("lineSep", "\n").text(parts)
+            folders = [f"{parts}/type={kind}" for kind in TYPES]
         else:
             elements.select(line.alias("value")).write.option("lineSep", "\n").text(parts)
             folders = [parts]
@@ -126,7 +130,7 @@ def write(elements: DataFrame, path: str, fmt: str, meta: Metadata | None = None
         _delete(spark, parts)
 
 
-def _documents(lines: DataFrame, start: str, end: str, fmt: str) -> DataFrame:
+def documents(lines: DataFrame, start: str, end: str, fmt: str) -> DataFrame:
     """Each partition's lines with a start and an end. OPL needs neither."""
     if fmt == "opl":
         return lines.select("value")
@@ -162,9 +166,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _assembled(spark: SparkSession, folders: list[str], path: str, start: str, end: str, skip: int) -> None:
-    """start, all part files in order, and end as one file; the first ``skip`` bytes of the parts are left out."""
+    """start, all part files in order, and end as one file; the first ``skip`` bytes of the parts are left out.
+
+    It is put together beside the path, and takes its place when it is whole.
+    """
     fs, target, jvm = _hadoop(spark, path)
-    out = fs.create(target, True)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.whole-{uuid.uuid4().hex}")
+    try:
+        _streamed(fs, jvm, folders, beside, start, end, skip)
+        fs.delete(target, True)
+        if not fs.rename(beside, target):
+            raise OSError(f"can't put the document at {path}")
+    finally:
+        fs.delete(beside, True)
+
+
+def _streamed(fs, jvm, folders: list[str], to, start: str, end: str, skip: int) -> None:
+    out = fs.create(to, True)
     try:
         out.write(start.encode())
         for folder in folders:

@@ -30,12 +30,14 @@ def resolve(flag: str | None, path: str | None, output: bool = False) -> str:
 
 
 def read_osm(spark: SparkSession, path: str, fmt: str | None = None, errors: str = "raise") -> tuple[DataFrame, Metadata]:
-    """Elements and what the document says of itself. OPL and PBF say nothing."""
+    """Elements and what the document says of itself. OPL and PBF say nothing. Bad elements are an error, or with ``errors="drop"`` left out, but in PBF."""
     fmt = resolve(fmt, path)
     if fmt == "opl":
         return opl.read(spark, path, errors), Metadata()
     if fmt == "json":
         return json.read(spark, path, errors), json.metadata(spark, path)
     if fmt == "xml":
-        return xml.read(spark, path), xml.metadata(spark, path)
+        return xml.read(spark, path, errors), xml.metadata(spark, path)
+    if errors != "raise":
+        raise ValueError("a damaged PBF block is always an error")
     return pbf.read(spark, path), Metadata()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartweave.functions.tags import last_wins
-from cartweave.schema import Metadata, conform
+from cartweave.schema import TYPES, Metadata, conform
 
 _SHARED = ", ".join(f"_{x} string" for x in ("id", "user", "uid", "visible", "version", "changeset", "timestamp"))
 _TAGS = "tag array<struct<_k:string,_v:string>>"
@@ -26,28 +26,42 @@ def _number(c: str | Column, sql: str) -> Column:
     return F.nullif(F.trim(c), F.lit("")).try_cast(sql)
 
 
-def _elements(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def _bad(c: str | Column, sql: str) -> Column:
+    """There is something that is no number."""
+    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("")).rlike(".") & _number(c, sql).isNull()
+
+
+def _elements(spark: SparkSession, path: str, kind: str, errors: str) -> DataFrame:
     rows = _scan(spark, path, kind, _ROWS[kind])
     entries = F.transform(F.coalesce("tag", F.expr("cast(array() as array<struct<_k:string,_v:string>>)")), lambda t: F.struct(t["_k"].alias("key"), t["_v"].alias("value")))
-    out = {
-        "type": F.lit(kind), "id": _number("_id", "bigint"), "version": _number("_version", "int"), "changeset": _number("_changeset", "bigint"), "uid": _number("_uid", "int"), "user": F.col("_user"),
-        "timestamp": F.nullif("_timestamp", F.lit("")), "visible": _number("_visible", "boolean"), "tags": last_wins(entries),
-    }
-    if kind == "node":
-        out |= {"lat": _number("_lat", "double"), "lon": _number("_lon", "double")}
-    elif kind == "way":
+    numbers = {"id": "bigint", "version": "int", "changeset": "bigint", "uid": "int", "visible": "boolean"} | ({"lat": "double", "lon": "double"} if kind == "node" else {})
+    out = {"type": F.lit(kind), "user": F.col("_user"), "timestamp": F.nullif("_timestamp", F.lit("")), "tags": last_wins(entries)} | {c: _number(f"_{c}", sql) for c, sql in numbers.items()}
+    wrong = [F.when(_bad(f"_{c}", sql), F.lit(f"a bad {c}")) for c, sql in numbers.items()]
+    some = lambda c, f: F.coalesce(F.exists(c, f), F.lit(False))
+    if kind == "way":
         out["nodes"] = F.coalesce(F.transform("nd", lambda n: _number(n["_ref"], "bigint")), F.expr("cast(array() as array<bigint>)"))
-    else:
+        wrong.append(F.when(some("nd", lambda n: _number(n["_ref"], "bigint").isNull()), F.lit("a bad node reference")))
+    elif kind == "relation":
         member = lambda m: F.struct(F.nullif(m["_type"], F.lit("")).alias("type"), _number(m["_ref"], "bigint").alias("ref"), m["_role"].alias("role"))
         out["members"] = F.coalesce(F.transform("member", member), F.expr("cast(array() as array<struct<type:string,ref:bigint,role:string>>)"))
-    good = F.col("id").isNotNull() & (F.col("lat").isNotNull() & F.col("lon").isNotNull() if kind == "node" else F.lit(True))
-    rows = rows.select(*(c.alias(n) for n, c in out.items()))
-    return rows.withColumn("type", F.when(good, F.col("type")).otherwise(F.raise_error(F.lit(f"XML: a {kind} without id or coordinates")).cast("string")))
+        wrong.append(F.when(some("member", lambda m: _number(m["_ref"], "bigint").isNull() | ~F.coalesce(F.nullif(m["_type"], F.lit("")), F.lit("node")).isin(*TYPES)), F.lit("a bad member")))
+    missing = out["id"].isNull() | (out["lat"].isNull() | out["lon"].isNull() if kind == "node" else F.lit(False))
+    error = F.coalesce(*wrong, F.when(missing, F.lit("no id or coordinates")))
+    rows = rows.select(*(c.alias(n) for n, c in out.items()), error.alias("_error"))
+    if errors == "drop":
+        return rows.where("_error is null").drop("_error")
+    failed = F.raise_error(F.concat(F.lit(f"XML: a {kind} with "), F.col("_error"), F.lit(": id "), F.coalesce(F.col("id").cast("string"), F.lit("none")))).cast("string")
+    return rows.withColumn("type", F.when(F.col("_error").isNull(), F.col("type")).otherwise(failed)).drop("_error")
+
 
+def read(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
+    """Nodes, then ways, then relations. Missing attributes are null, a missing list is empty; of equal tag keys the last counts.
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes, then ways, then relations. Missing attributes are null, a missing list is empty; of equal tag keys the last counts."""
-    node, way, relation = (conform(_elements(spark, path, k)) for k in _ROWS)
+    An element without id or coordinates, with a number that is none, or with a member of no known type is an error, or with ``drop`` left out.
+    """
+    if errors not in ("raise", "drop"):
+        raise ValueError("errors is raise or drop")
+    node, way, relation = (conform(_elements(spark, path, k, errors)) for k in _ROWS)
     return node.unionByName(way).unionByName(relation)
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from cartweave.errors import UnknownInputFormat, UnknownOutputFormat
 from cartweave.functions import opl as opl_text
 from cartweave.operators import sinks
-from cartweave.schema import ELEMENT, Metadata
+from cartweave.schema import ELEMENT, Metadata, conform
 from cartweave.sources import json as json_source
 from cartweave.sources import opl, pbf, pbf_encode, registry, xml
 
@@ -145,3 +146,33 @@ def test_all_sources_agree(spark, elements, tmp_path):
         sinks.write(some, f"{tmp_path}/a.{fmt}", fmt, ordered=True)
     got = [rows(registry.read_osm(spark, f"{tmp_path}/a.{fmt}")[0], visible=0) for fmt in ("opl", "json", "xml")]
     assert got[0] == got[1] == got[2]
+
+
+def test_xml_mistakes(spark, tmp_path):
+    """Numbers that are none, and members of no known type, are errors; or are left out."""
+    good = '<node id="1" lat="1" lon="2" uid="" version="3"/><way id="5"><nd ref="1"/></way><relation id="6"><member type="way" ref="5" role=""/></relation>'
+    bad = ['<node id="x" lat="1" lon="2"/>', '<node id="2" lat="1" lon="2" uid="y"/>', '<node id="2" lat="a" lon="2"/>', '<way id="7"><nd ref="z"/></way>', '<relation id="8"><member type="area" ref="5" role=""/></relation>', '<relation id="8"><member type="way" ref="" role=""/></relation>']
+    for i, line in enumerate(bad):
+        path = f"{tmp_path}/{i}.xml"
+        with open(path, "w") as f:
+            f.write(f'<osm version="0.6">{good}{line}</osm>')
+        with pytest.raises(Exception, match="XML: a "):
+            xml.read(spark, path).collect()
+        assert sorted(r["id"] for r in xml.read(spark, path, errors="drop").collect()) == [1, 5, 6]
+
+
+def test_xml_control_characters(spark, tmp_path):
+    rows = spark.createDataFrame([("node", 1, {"k": "a\x01b\x0b￾\tc"}, 1.0, 2.0)], "type string, id long, tags map<string,string>, lat double, lon double")
+    sinks.write(conform(rows), f"{tmp_path}/c.xml", "xml")
+    (r,) = xml.read(spark, f"{tmp_path}/c.xml").collect()
+    assert r["tags"] == {"k": "a�b��\tc"}
+
+
+def test_failed_write_leaves_what_was_there(spark, tmp_path):
+    rows = conform(spark.createDataFrame([("node", 1, {"k": "v"}, 1.0, 2.0)], "type string, id long, tags map<string,string>, lat double, lon double"))
+    path = f"{tmp_path}/d.json"
+    sinks.write(rows, path, "json")
+    before = open(path).read()
+    with pytest.raises(Exception, match="on purpose"):
+        sinks.write(rows.withColumn("type", F.raise_error(F.lit("on purpose")).cast("string")), path, "json")
+    assert open(path).read() == before and [x for x in os.listdir(tmp_path) if "whole" in x or "parts" in x] == []
