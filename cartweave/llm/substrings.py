@@ -1,14 +1,15 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees.
+"""Removal of repeated passages by prefix-partitioned sparse suffix trees.
 
-A suffix that starts a window of ``WINDOW`` words belongs to the group of its prefix: of the ``PREFIX``-word runs within the window,
-the one with the least hash. The same window has the same prefix wherever it stands, so what repeats meets in one group, and a
-prefix that only one document has needs no group at all; of most text no more than one hash in twenty words is sent.
+A sparse suffix tree holds those suffixes that start at an anchor. Anchors are chosen by the text alone: of the ``PREFIX``-word runs within a
+window of ``WINDOW`` words, the one with the least hash. The same window has the same anchor wherever it stands, so every repeated window
+shows in the tree of its anchor's prefix, while of most text no more than one suffix in twenty words is sent. A prefix
+that only one document has needs no tree at all.
 
-The groups of a task are taken together in pieces that fit in memory. Their suffixes are ordered by doubling the sorted depth (a
-suffix tree kept as ranks by depth); suffixes that are equal to the depth of a window are the leaves below one deep internal node,
-that is a repeat, and the least doc_id below the node keeps it.
+The groups of a task are taken together in pieces that fit in memory. Each piece becomes a tree, kept as the sorted suffixes and the lengths of
+their longest common prefixes: an internal node is a run of neighbours that have at least its depth in common. Those as deep as a window are the
+repeats; the least doc_id below a node keeps it, and covered words merge to the longest spans.
 
-A prefix in more than ``HOT`` documents gets longer, up to the whole window: these nodes are groups of equal windows, which are
+A prefix in more than ``HOT`` documents gets longer, up to the whole window: these nodes are groups of equal windows (by 128 bits), which are
 summed on the map side, so no task gets all documents that share a passage. Documents with equal word sequences are settled first.
 """
 
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import cut, set_apart
+from .shared import cut, returning, set_apart
 
-WINDOW, PREFIX, HOT = 50, 10, 1000
+WINDOW, PREFIX, HOT, SALTS = 50, 10, 1000, 16
 PIECE = 1_500_000  #: words of the groups that are ordered at once
+TASK_BYTES = 64_000_000  #: of words of groups, in a task
 
 
 def prefixes(h: np.ndarray, first: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def _keys(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                     ["h", "h2", "doc"],
                 )
 
-    return docs.mapInArrow(run, "h long, h2 long, doc long")
+    return docs.mapInArrow(returning(run), "h long, h2 long, doc long")
 
 
 def _segments(docs: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -111,21 +113,38 @@ def _segments(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "hot", "doc", "sig", "at", "words"])
 
-    return docs.mapInArrow(run, "h long, hot boolean, doc long, sig long, at int, words binary")
+    return docs.mapInArrow(returning(run), "h long, hot boolean, doc long, sig long, at int, words binary")
 
 
-def repeats(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of windows within the segments, number of the node of each): equal windows have the same node."""
+def tree(words: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, common words with the one before): the tree of the suffixes that start at these words, down to a depth.
+
+    Each must have as many words. Ranks by the first 1, 2, 4 ... words are made by doubling; two neighbours have their longest common
+    prefix by going through these from the longest.
+    """
     _, rank = np.unique(words, return_inverse=True)
-    rank, depth, n = rank.astype(np.int64), 1, len(words)
-    while depth < window:
-        step = min(depth, window - depth)
-        key = rank[: len(rank) - step] * n + rank[step:]
-        _, rank = np.unique(key, return_inverse=True)
-        depth += step
-    sizes = np.maximum(np.diff(first) - window + 1, 0)
-    start = np.repeat(first[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    return start, rank[start]
+    n, levels = len(words), [(1, rank.astype(np.int64))]
+    while levels[-1][0] < depth:
+        at, rank = levels[-1]
+        step = min(at, depth - at)
+        _, rank = np.unique(rank[: len(rank) - step] * n + rank[step:], return_inverse=True)
+        levels.append((at + step, rank))
+    order = start[np.argsort(levels[-1][1][start], kind="stable")]
+    common = np.zeros(len(order), np.int64)
+    if len(order):
+        a, b = order[:-1], order[1:]
+        same = np.zeros(len(a), np.int64)
+        for at, rank in reversed(levels):
+            open_ = np.flatnonzero(same + at <= depth)
+            more = open_[rank[a[open_] + same[open_]] == rank[b[open_] + same[open_]]]
+            same[more] += at
+        common[1:] = same
+    return order, common
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
+    """For each sorted suffix the number of the node of at least this depth that it is below; neighbours with less in common begin another one."""
+    return np.cumsum(common < depth) - 1
 
 
 def _removed(segments: DataFrame, window: int) -> DataFrame:
@@ -134,7 +153,9 @@ def _removed(segments: DataFrame, window: int) -> DataFrame:
     def solve(h, doc, sig, at, words):
         flat = np.frombuffer(b"".join(words), np.uint32)
         first = np.concatenate([[0], np.cumsum([len(x) // 4 for x in words])])
-        start, node = repeats(flat, first, window)
+        sizes = np.maximum(np.diff(first) - window + 1, 0)
+        start, common = tree(flat, np.repeat(first[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), window)
+        node = deep_nodes(common, window)
         row = np.searchsorted(first, start, "right") - 1
         order = np.lexsort((doc[row], node))
         node, row, start = node[order], row[order], start[order]
@@ -168,7 +189,7 @@ def _removed(segments: DataFrame, window: int) -> DataFrame:
         if held and (x := out(held)) is not None:
             yield x
 
-    return segments.mapInArrow(run, "doc long, sig long, start int, end int")
+    return segments.mapInArrow(returning(run), "doc long, sig long, start int, end int")
 
 
 def _hot_removed(segments: DataFrame, window: int) -> DataFrame:
@@ -178,14 +199,18 @@ def _hot_removed(segments: DataFrame, window: int) -> DataFrame:
         for b in batches:
             out = []
             for doc, sig, at, words in zip(*(b.column(c).to_pylist() for c in ("doc", "sig", "at", "words")), strict=True):
-                h = T.rolled(T.mix(np.frombuffer(words, np.uint32).astype(np.uint64)), window)
-                out.append((h.view(np.int64), np.full(len(h), doc), np.full(len(h), sig), np.arange(at, at + len(h), dtype=np.int32)))
+                h = np.frombuffer(words, np.uint32).astype(np.uint64)
+                one, two = T.rolled(T.mix(h), window), T.rolled(T.mix(~h), window)
+                out.append((one.view(np.int64), two.view(np.int64), np.full(len(one), doc), np.full(len(one), sig), np.arange(at, at + len(one), dtype=np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["w", "doc", "sig", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["w", "w2", "doc", "sig", "at"])
 
-    rows = segments.mapInArrow(run, "w long, doc long, sig long, at int")
-    least = rows.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
-    return rows.join(least, "w").where("doc > least").select("doc", "sig", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
+    rows = segments.mapInArrow(returning(run), "w long, w2 long, doc long, sig long, at int")
+    least = rows.groupBy("w", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "w2", "least")
+    # Windows of very many documents come back to these in parts; of the windows themselves there are few.
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int"))
+    return rows.join(least, ["w", "w2", "salt"]).where("doc > least").select("doc", "sig", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
 
 
 def marked(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -205,7 +230,7 @@ def marked(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataF
     per_doc = cut(per_doc)
     some = own.join(per_doc.where("not copy and size(shared) > 0").withColumnRenamed("doc", "doc_id").drop("copy"), "doc_id")
     segments = cut(_segments(some, window, prefix))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // TASK_BYTES))
     sorted_ = segments.where("not hot").select("h", "doc", "sig", "at", "words").repartition(tasks, "h").sortWithinPartitions("h")
     spans = _removed(sorted_, window).union(_hot_removed(segments.where("hot"), window))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("sig", "start", "end")).alias("spans"))
@@ -248,7 +273,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     kept.append(b" ".join(words if keep.all() else [words[k] for k in np.flatnonzero(keep)]).decode())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
 
-    return back(marked(docs, window, prefix).mapInArrow(run, schema), "n_words", "n_removed", "kept_text")
+    return back(marked(docs, window, prefix).mapInArrow(returning(run), schema), "n_words", "n_removed", "kept_text")
 
 
 def report(docs: DataFrame) -> DataFrame:

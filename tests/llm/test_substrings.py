@@ -51,6 +51,22 @@ def result(out):
     return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()), key=str)
 
 
+def test_tree():
+    """Sorted suffixes and common prefixes are those of plain sorting, and deep nodes those of equal windows."""
+    r = np.random.default_rng(4)
+    words = r.integers(0, 3, 400).astype(np.uint32)
+    words[200:260] = words[50:110]
+    start, depth = np.arange(0, 380, dtype=np.int64), 20
+    order, common = substrings.tree(words, start, depth)
+    text = [tuple(words[k : k + depth].tolist()) for k in order.tolist()]
+    assert sorted(order.tolist()) == start.tolist() and text == sorted(text)
+    want = [0] + [next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), depth) for a, b in zip(text, text[1:], strict=False)]
+    assert common.tolist() == want
+    node = substrings.deep_nodes(common, depth)
+    assert [node[i] == node[i - 1] for i in range(1, len(node))] == [text[i] == text[i - 1] for i in range(1, len(text))]
+    assert [x.tolist() for x in substrings.tree(words[:0], start[:0], depth)] == [[], []]
+
+
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_as_brute_force(frame, corpus, with_clashes, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
@@ -78,13 +94,3 @@ def test_columns_pass(frame, corpus, with_clashes, own_columns):
 
 def test_empty_table(frame):
     assert substrings.report(frame([])).collect() == []
-
-
-def test_nodes_are_equal_windows():
-    random_ = np.random.default_rng(2)
-    flat, first = random_.integers(0, 3, 200).astype(np.uint32), np.array([0, 60, 64, 130, 200])
-    start, node = substrings.repeats(flat, first, 6)
-    want = [i for a, b in zip(first, first[1:], strict=False) for i in range(a, b - 5)]
-    assert start.tolist() == want
-    keys = [tuple(flat[i : i + 6].tolist()) for i in want]
-    assert len(set(zip(keys, node.tolist(), strict=True))) == len(set(keys)) == len(set(node.tolist()))
