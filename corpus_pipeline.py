@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cartweave.llm import bpe, decontaminate, langid, minhash, pii
 from cartweave.llm.queries import TOKENIZER
-from cartweave.llm.shared import bounded_batches, fresh_dir, set_apart, table
+from cartweave.llm.shared import bounded_batches, fresh_dir, remove, set_apart, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -56,12 +56,12 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]`` and ``[CONTEXT]`` in place of what is found."""
+    """``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]`` and ``[CONTEXT]`` in place of what is found. Null and empty texts and repeated rows stay."""
     return _counted(pii.redacted(docs))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; null and empty texts have no tokens, repeated rows each have a row."""
     bounded_batches(spark)
     return bpe.report(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, stable=True)
 
@@ -79,10 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage for the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage for the table documents. A stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         to = fresh_dir(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(to)
-        docs = spark.read.parquet(to)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(to), to
     return STAGES[-1][1](spark, docs, sf_dir)
