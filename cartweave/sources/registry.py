@@ -35,7 +35,8 @@ def read_osm(spark: SparkSession, path: str, fmt: str | None = None, errors: str
     if fmt == "opl":
         return opl.read(spark, path, errors), Metadata()
     if fmt == "json":
-        return json.read(spark, path, errors), json.metadata(spark, path)
+        lines = json.by_lines(spark, path)
+        return json.read(spark, path, errors, lines), json.metadata(spark, path, lines)
     if fmt == "xml":
         return xml.read(spark, path, errors), xml.metadata(spark, path)
     if errors != "raise":

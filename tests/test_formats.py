@@ -176,3 +176,56 @@ def test_failed_write_leaves_what_was_there(spark, tmp_path):
     with pytest.raises(Exception, match="on purpose"):
         sinks.write(rows.withColumn("type", F.raise_error(F.lit("on purpose")).cast("string")), path, "json")
     assert open(path).read() == before and [x for x in os.listdir(tmp_path) if "whole" in x or "parts" in x] == []
+
+
+def spread(frame):
+    """How many tasks read text of the frame."""
+    return frame.rdd.getNumPartitions()
+
+
+LAYOUTS = {
+    "lines": '{"version":"0.6","generator":"]g[","elements":[\n%s\n%s\n]}\n',
+    "pretty": '{\n "version": "0.6",\n "elements": [\n%s\n%s\n ],\n "generator": "]g["\n}',
+    "one line": '{"other":[{"elements":[1]},[]],"version":"0.6","elements":[%s%s],"generator":"]g["}',
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_json_layouts(spark, tmp_path, layout):
+    """Whatever lines a document has, its elements are the same; only those on lines of their own are read by lines."""
+    one, two = {"type": "node", "id": 1, "lat": 1.5, "lon": 2.0, "tags": {"a": 'x"},{"\\', "é}": "{["}}, {"type": "way", "id": 2, "nodes": [1, 1], "tags": {}}
+    indent = 1 if layout == "pretty" else None
+    path = tmp_path / "x.json"
+    path.write_text(LAYOUTS[layout] % (json.dumps(one, indent=indent), "," + json.dumps(two, indent=indent)))
+    assert (json_source.by_lines(spark, str(path)) is not None) == (layout == "lines")
+    elements, meta = registry.read_osm(spark, str(path))
+    got = rows(elements)
+    assert [(r["id"], r["tags"], r["nodes"]) for r in got] == [(1, one["tags"], None), (2, {}, [1, 1])]
+    assert meta.version == "0.6" and meta.generator == "]g["
+
+
+def test_json_document_splits(spark, elements, tmp_path):
+    """A document of the sink is read by several tasks, not as one row of all its elements."""
+    nodes = spark.range(3000).selectExpr("'node' as type", "id", "map('k', repeat('x', 400)) as tags", "1.0D as lat", "2.0D as lon")
+    sinks.write(conform(nodes.repartition(3)), f"{tmp_path}/n.json", "json", META)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        back = json_source.read(spark, f"{tmp_path}/n.json")
+        assert spread(back) > 3 and sorted(r[0] for r in back.select("id").collect()) == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_broken_documents(spark, tmp_path):
+    node = '{"type":"node","id":%d,"lat":1,"lon":2}'
+    two = (node % 1, node % 2)
+    for i, text in enumerate(('{"elements":[\n%s\n%s\n]}' % two, '{"elements":[%s,%s]' % two, '{"elements":[\n%s\n,%s\n' % two, '{"elements":[%s,,%s]}' % two, '{"elements":[%s,5,%s]}' % two, '{"elements":[%s,%s,]}' % two, '{"elements":[%s,{"type":"node}]}' % two[0], '{"elements":[\n%s\n,null\n,%s\n]}' % two)):
+        (tmp_path / f"{i}.json").write_text(text)
+        with pytest.raises(Exception, match="JSON|MALFORMED"):
+            json_source.read(spark, f"{tmp_path}/{i}.json").collect()
+    (tmp_path / "e.json").write_text('{"elements":[]}')
+    (tmp_path / "n.json").write_text('{"version":1}')
+    (tmp_path / "z.json").write_text("")
+    assert [json_source.read(spark, f"{tmp_path}/{x}.json").count() for x in "enz"] == [0, 0, 0]
+    assert [r["id"] for r in json_source.read(spark, f"{tmp_path}/7.json", "drop").orderBy("id").collect()] == [1, 2]
