@@ -38,7 +38,8 @@ def read_osm(spark: SparkSession, path: str, fmt: str | None = None, errors: str
         lines = json.by_lines(spark, path)
         return json.read(spark, path, errors, lines), json.metadata(spark, path, lines)
     if fmt == "xml":
-        return xml.read(spark, path, errors), xml.metadata(spark, path)
+        lines = xml.by_lines(spark, path)
+        return xml.read(spark, path, errors, lines), xml.metadata(spark, path, lines)
     if errors != "raise":
         raise ValueError("a damaged PBF block is always an error")
     return pbf.read(spark, path), Metadata()

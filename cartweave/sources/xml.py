@@ -1,12 +1,21 @@
-"""OSM XML. Rows of nodes, ways and relations are read by their tags; attributes are read as text, as empty ones are no numbers."""
+"""OSM XML. Attributes are read as text, as empty ones are no numbers.
+
+A document that has each element on a line of its own is read by lines, which split, in a scan for each type; of any other layout, rows of nodes, ways
+and relations are read by their tags, in such scans of one task for each document.
+"""
 
 from __future__ import annotations
 
+import re
+import xml.etree.ElementTree as ET
+from xml.parsers import expat
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartweave.functions.tags import last_wins
 from cartweave.schema import TYPES, Metadata, conform
+from cartweave.sources.lines import Commas, Layout, layout
 
 _SHARED = ", ".join(f"_{x} string" for x in ("id", "user", "uid", "visible", "version", "changeset", "timestamp"))
 _TAGS = "tag array<struct<_k:string,_v:string>>"
@@ -17,9 +26,11 @@ _ROWS = {
 }
 
 
+_OPTIONS = {"ignoreSurroundingSpaces": "false", "nullValue": "\x00", "mode": "FAILFAST"}
+
+
 def _scan(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    options = {"rowTag": tag, "ignoreSurroundingSpaces": "false", "nullValue": "\x00", "mode": "FAILFAST"}
-    return spark.read.format("xml").options(**options).schema(schema).load(path)
+    return spark.read.format("xml").options(rowTag=tag, **_OPTIONS).schema(schema).load(path)
 
 
 def _number(c: str | Column, sql: str) -> Column:
@@ -31,8 +42,64 @@ def _bad(c: str | Column, sql: str) -> Column:
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("")).rlike(".") & _number(c, sql).isNull()
 
 
-def _elements(spark: SparkSession, path: str, kind: str, errors: str) -> DataFrame:
-    rows = _scan(spark, path, kind, _ROWS[kind])
+# Elements on lines of their own
+
+def _kind(line: Column) -> Column:
+    return F.regexp_extract(line, r"\A<(node|way|relation)[\s/>]", 1)
+
+
+def _whole(line: Column) -> Column:
+    """One element and nothing else. ``<`` stands only before tags, as values can't hold it, and where nothing is a comment."""
+    kind, markup = _kind(line), F.contains(line, F.lit("<!")) | F.contains(line, F.lit("<?"))
+    times = lambda x: F.size(F.split(line, x)) - 1
+    empty = (times("<") == 1) & line.endswith("/>")
+    ended = (times("</(node|way|relation)") == 1) & (times("<(node|way|relation)") == 1) & line.endswith(F.concat(F.lit("</"), kind, F.lit(">")))
+    return ~markup & (empty | ended)
+
+
+def _ends(before: str, after: str, n: int, commas: Commas) -> tuple[str, list[str], str] | None:
+    start, stop, open_, inside = 0, 0, [], []
+    data = before.encode()
+    parser = expat.ParserCreate()
+
+    def opened(name, attributes):
+        nonlocal start, stop
+        if not open_:
+            start = parser.CurrentByteIndex
+        elif len(open_) == 1 and not stop:
+            stop = parser.CurrentByteIndex
+        if len(open_) == 1 and name in TYPES:
+            inside.append([parser.CurrentByteIndex, None])
+        open_.append(name)
+
+    def closed(name):
+        open_.pop()
+        if len(open_) == 1 and name in TYPES:
+            at = parser.CurrentByteIndex
+            inside[-1][1] = data.index(b">", at) + 1 if data[at : at + 2] == b"</" else None
+
+    parser.StartElementHandler, parser.EndElementHandler = opened, closed
+    try:
+        parser.Parse(data + b"</osm>", True)
+        if not re.search(r"<osm\b", before) or re.search(r"encoding\s*=\s*[\"'](?!utf-8)", before, re.I) or any(e[1] is None for e in inside):
+            return None
+        if any(e.tag in TYPES for e in ET.fromstring(f"<osm>{after}").iter()):
+            return None
+    except (expat.ExpatError, ET.ParseError):
+        return None
+    return data[start : stop or len(data)].decode(), [data[a:b].decode() for a, b in inside], after
+
+
+def by_lines(spark: SparkSession, path: str) -> Layout | None:
+    return layout(spark, path, lambda line: _kind(line) != "", _whole, lambda line: line, _ends)
+
+
+def _elements(spark: SparkSession, path: str, kind: str, errors: str, lines: Layout | None) -> DataFrame:
+    if lines:
+        some = lines.elements.where(_kind(F.col("value")) == kind)
+        rows = some.select(F.from_xml("value", _ROWS[kind], _OPTIONS).alias("e")).select("e.*")
+    else:
+        rows = _scan(spark, path, kind, _ROWS[kind])
     entries = F.transform(F.coalesce("tag", F.expr("cast(array() as array<struct<_k:string,_v:string>>)")), lambda t: F.struct(t["_k"].alias("key"), t["_v"].alias("value")))
     numbers = {"id": "bigint", "version": "int", "changeset": "bigint", "uid": "int", "visible": "boolean"} | ({"lat": "double", "lon": "double"} if kind == "node" else {})
     out = {"type": F.lit(kind), "user": F.col("_user"), "timestamp": F.nullif("_timestamp", F.lit("")), "tags": last_wins(entries)} | {c: _number(f"_{c}", sql) for c, sql in numbers.items()}
@@ -54,18 +121,22 @@ def _elements(spark: SparkSession, path: str, kind: str, errors: str) -> DataFra
     return rows.withColumn("type", F.when(F.col("_error").isNull(), F.col("type")).otherwise(failed)).drop("_error")
 
 
-def read(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
+def read(spark: SparkSession, path: str, errors: str = "raise", lines: Layout | None = None) -> DataFrame:
     """Nodes, then ways, then relations. Missing attributes are null, a missing list is empty; of equal tag keys the last counts.
 
     An element without id or coordinates, with a number that is none, or with a member of no known type is an error, or with ``drop`` left out.
     """
     if errors not in ("raise", "drop"):
         raise ValueError("errors is raise or drop")
-    node, way, relation = (conform(_elements(spark, path, k, errors)) for k in _ROWS)
+    lines = lines or by_lines(spark, path)
+    node, way, relation = (conform(_elements(spark, path, k, errors, lines)) for k in _ROWS)
     return node.unionByName(way).unionByName(relation)
 
 
-def metadata(spark: SparkSession, path: str) -> Metadata:
+def metadata(spark: SparkSession, path: str, lines: Layout | None = None) -> Metadata:
     names = list(Metadata().as_dict())
+    if lines:
+        top = ET.fromstring("".join(lines.ends[0]))
+        return Metadata(**{x: top.get(x) for x in names})
     rows = _scan(spark, path, "osm", ", ".join(f"_{x} string" for x in names)).limit(1).collect()
     return Metadata(**{x: rows[0][f"_{x}"] for x in names}) if rows else Metadata()

@@ -229,3 +229,27 @@ def test_json_broken_documents(spark, tmp_path):
     (tmp_path / "z.json").write_text("")
     assert [json_source.read(spark, f"{tmp_path}/{x}.json").count() for x in "enz"] == [0, 0, 0]
     assert [r["id"] for r in json_source.read(spark, f"{tmp_path}/7.json", "drop").orderBy("id").collect()] == [1, 2]
+
+
+def test_xml_document_splits(spark, tmp_path):
+    """A document of the sink is read by several tasks."""
+    nodes = spark.range(3000).selectExpr("'node' as type", "id", "map('k', concat(repeat('x', 400), '</node> <!-- >')) as tags", "1.0D as lat", "2.0D as lon")
+    sinks.write(conform(nodes.repartition(3)), f"{tmp_path}/n.xml", "xml", META)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        back, meta = registry.read_osm(spark, f"{tmp_path}/n.xml")
+        assert spread(back) > 9 and sorted(tuple(r) for r in back.selectExpr("id", "right(tags['k'], 14)").collect()) == [(i, "</node> <!-- >") for i in range(3000)]
+        assert meta == Metadata("0.6", META.generator, META.copyright, META.license, None)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_xml_comments(spark, tmp_path):
+    """Lines within comments are no elements, in documents that are otherwise read by lines."""
+    node = '<node id="%d" lat="1" lon="2"><tag k="a" v="b > c"/></node>'
+    head, end = '<?xml version="1.0"?>\n<osm version="0.6">\n <bounds minlat="1"/>', "</osm>\n"
+    for name, body, splits in (("plain", [node % 1, node % 2, '<node id="3" lat="1" lon="2"/>'], True), ("comment", ["<!--", node % 9, "-->", node % 1, node % 2, node % 3], False), ("within", [node % 1, "<!--", node % 9, "-->", node % 2, node % 3], False)):
+        (tmp_path / f"{name}.xml").write_text("\n".join([head, *body, end]))
+        assert (xml.by_lines(spark, f"{tmp_path}/{name}.xml") is not None) == splits
+        assert sorted(r["id"] for r in xml.read(spark, f"{tmp_path}/{name}.xml").collect()) == [1, 2, 3]
