@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 #: What needs no escape: printable ASCII but space % , = @, and two ranges beyond it.
 PLAIN = r"\x21-\x24\x26-\x2B\x2D-\x3C\x3E-\x3F\x41-\x7E\xA1-\xAC\xAE-\x{5FF}"
-_ALL_PLAIN, _ONE_PLAIN = rf"\A[{PLAIN}]*\z", rf"\A[{PLAIN}]\z"
+_ALL_PLAIN, _PIECES = rf"\A[{PLAIN}]*\z", rf"[{PLAIN}]+|[^{PLAIN}]"
 
 
 def escape(text: Column) -> Column:
-    """Each character outside PLAIN as ``%`` its code point in lower-case hexadecimal ``%``."""
-    char = lambda c: F.when(c.rlike(_ONE_PLAIN), c).otherwise(F.concat(F.lit("%"), F.lower(F.hex(F.ascii(c))), F.lit("%")))
-    return F.when(text.rlike(_ALL_PLAIN), text).otherwise(F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c == "", c).otherwise(char(c))), ""))
+    """In runs of PLAIN and single other characters: each of these as ``%`` its code point in lower-case hexadecimal ``%``."""
+    piece = lambda c: F.when(c == " ", "%20%").when(c.rlike(_ALL_PLAIN), c).otherwise(F.concat(F.lit("%"), F.lower(F.hex(F.ascii(c))), F.lit("%")))
+    return F.when(text.rlike(_ALL_PLAIN), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), piece), ""))
 
 
 def unescape(text: Column) -> Column:
     """The reverse. What isn't the hexadecimal number of a character gives nothing; a last ``%`` takes the rest of the text as its number."""
-    part = lambda p: F.when(p.rlike(r"\A\+?0*([0-9a-fA-F]{1,5}|10[0-9a-fA-F]{4})\z") & ~p.rlike(r"(?i)\A\+?0*d[89a-f][0-9a-f]{2}\z"), _character(p)).otherwise(F.lit(""))
+    common = lambda p: F.when(p == "20", " ").when(p == "2c", ",").when(p == "a", "\n").when(p == "25", "%").when(p == "3d", "=").when(p == "40", "@")
+    part = lambda p: common(p).when(p.rlike(r"\A\+?0*([0-9a-fA-F]{1,5}|10[0-9a-fA-F]{4})\z") & ~p.rlike(r"(?i)\A\+?0*d[89a-f][0-9a-f]{2}\z"), _character(p)).otherwise(F.lit(""))
     pieces = F.split(text, "%", -1)
     return F.when(~F.contains(text, F.lit("%")), text).otherwise(F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(part(p))), ""))
 

@@ -253,3 +253,11 @@ def test_xml_comments(spark, tmp_path):
         (tmp_path / f"{name}.xml").write_text("\n".join([head, *body, end]))
         assert (xml.by_lines(spark, f"{tmp_path}/{name}.xml") is not None) == splits
         assert sorted(r["id"] for r in xml.read(spark, f"{tmp_path}/{name}.xml").collect()) == [1, 2, 3]
+
+
+def test_escape_by_runs(spark):
+    """Plain text is taken in runs: as many steps as there are runs and other characters, not one for each character."""
+    frame = spark.createDataFrame([("ab cd,é=@%\n😱文x" * 50,)], "t string").select(opl_text.escape(F.col("t")).alias("e"), "t")
+    assert "regexp_extract_all" in frame._jdf.queryExecution().toString()
+    (r,) = frame.select("e", "t", opl_text.unescape(F.col("e")).alias("back")).collect()
+    assert r["e"] == "ab%20%cd%2c%é%3d%%40%%25%%a%%1f631%%6587%x" * 50 and r["back"] == r["t"]
