@@ -37,7 +37,9 @@ def _body(line: Column) -> Column:
 
 def _looks(line: Column) -> Column:
     """An object, but not the start of a document with its first element, in which quotes stand that no string has."""
-    return line.rlike(r"\A(,\s*)?\{") & line.rlike(r"\}(\s*,)?\z") & ~line.rlike(r'"elements"\s*:\s*\[')
+    starts = line.startswith("{") | line.startswith(",{") | line.startswith(",") & line.rlike(r"\A,\s*\{")
+    ends = line.endswith("}") | line.endswith("},") | line.endswith(",") & line.rlike(r"\}\s*,\z")
+    return starts & ends & ~(F.contains(line, F.lit('"elements"')) & line.rlike(r'"elements"\s*:\s*\['))
 
 
 def _whole(line: Column) -> Column:
@@ -209,13 +211,13 @@ def read(spark: SparkSession, path: str, errors: str = "raise", lines: Layout |
     """
     lines = lines or by_lines(spark, path)
     texts = lines.elements if lines else _in_order(spark, path)
-    rows = texts.select(F.from_json("value", _ELEMENT, _FAIL).alias("e")).select("e.*")
+    rows = texts.select("value", F.from_json("value", _ELEMENT, _FAIL).alias("e")).select("value", "e.*")
     bad_member = F.coalesce(F.exists("members", lambda m: m["type"].isNotNull() & ~m["type"].isin(*TYPES) | m["ref"].isNull()), F.lit(False))
     missing = (F.col("type") == "node") & (F.col("lat").isNull() | F.col("lon").isNull()) | (F.col("type") == "way") & F.col("nodes").isNull() | (F.col("type") == "relation") & F.col("members").isNull()
     good = F.coalesce(F.col("type").isin(*TYPES) & F.col("id").isNotNull() & ~missing & ~bad_member, F.lit(False))
     if errors == "drop":
         return conform(rows.where(good))
-    checked = F.when(good, F.col("type")).otherwise(F.raise_error(F.concat(F.lit("JSON: bad element "), F.left(F.to_json(F.struct(*rows.columns)), F.lit(200)))).cast("string"))
+    checked = F.when(good | F.col("value").isNull(), F.col("type")).otherwise(F.raise_error(F.concat(F.lit("JSON: bad element "), F.left(F.to_json(F.struct(*rows.columns[1:])), F.lit(200)))).cast("string"))
     return conform(rows.withColumn("type", checked))
 
 

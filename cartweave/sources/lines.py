@@ -30,7 +30,10 @@ class Commas:
 
 @dataclass(frozen=True)
 class Layout:
-    """elements: a text column ``value``, one element in each row. ends: what stands before and after the elements of each file."""
+    """elements: a text column ``value``, one element in each row. ends: what stands before and after the elements of each file.
+
+    Spark may test conditions on what is parsed before the one that a line is an element: other lines are null till then, and no mistakes.
+    """
 
     elements: DataFrame
     ends: list[tuple[str, str]]
@@ -54,20 +57,23 @@ def layout(
     looks: that a trimmed line is one element, if the document is of that kind; whole proves it. body: its text. ends: of the lines before and after the
     elements, the number of elements between and their commas: (text before, elements in it, text after), or None if they aren't the ends of such a document.
     """
-    lines, text = raw_lines(spark, path), trimmed(F.col("value"))
-    element = F.coalesce(looks(text), F.lit(False))
-    odd = ~element & (text != "")
+    # Columns of their own, so that no aggregate works them out again.
+    lines = raw_lines(spark, path).withColumn("text", trimmed(F.col("value"))).withColumn("element", F.coalesce(looks(F.col("text")), F.lit(False)))
+    text, element = F.col("text"), F.col("element")
     bytes_ = (F.octet_length("value") + 1).cast("bigint")
-    counts = lines.groupBy("file", "size").agg(
-        F.sum(bytes_).alias("bytes"), F.count_if(odd).alias("odd"), F.sum(F.when(odd, bytes_).otherwise(0)).alias("odd_bytes"), F.count_if(element & ~F.coalesce(whole(text), F.lit(False))).alias("wrong"),
+    lines = lines.withColumn("is_odd", ~element & (text != ""))
+    odd = F.col("is_odd")
+    counts = lines.select("file", "size", "element", "is_odd", bytes_.alias("bytes"), (element & ~F.coalesce(whole(text), F.lit(False))).alias("wrong")).groupBy("file", "size").agg(
+        F.sum("bytes").alias("bytes"), F.count_if(odd).alias("odd"), F.sum(F.when(odd, F.col("bytes")).otherwise(0)).alias("odd_bytes"), F.count_if("wrong").alias("wrong"),
     )
     files = counts.collect()
     if not files or sum(r["odd_bytes"] for r in files) > MAX_ODD_BYTES or any(r["wrong"] or not 0 <= r["bytes"] - r["size"] <= 1 or not 2 <= r["odd"] <= MAX_ODD for r in files):
         return None
     # Places are those of this one job: another may cut files in other blocks.
     at = lambda c: F.when(c, F.col("row"))
-    no_lead, no_trail = element & ~text.startswith(","), element & ~text.endswith(",")
-    blocks = lines.groupBy("file", "block").agg(
+    no_lead, no_trail = F.col("no_lead"), F.col("no_trail")
+    marked = lines.select("file", "block", "row", "element", "is_odd", (element & ~text.startswith(",")).alias("no_lead"), (element & ~text.endswith(",")).alias("no_trail"), F.when(odd, F.col("value")).alias("value"))
+    blocks = marked.groupBy("file", "block").agg(
         F.count_if(element).alias("n"), F.min(at(element)).alias("first"), F.max(at(element)).alias("last"), F.count_if(no_lead).alias("no_lead"), F.count_if(no_trail).alias("no_trail"),
         F.min(at(no_lead)).alias("bare_first"), F.max(at(no_trail)).alias("bare_last"), F.collect_list(F.when(odd, F.struct("row", "value"))).alias("odd"),
     )
@@ -92,7 +98,7 @@ def layout(
             return None
         found.append((parsed[0], parsed[2]))
         inside += parsed[1]
-    elements = lines.where(element).select(body(text).alias("value"))
+    elements = lines.select(F.when(element, body(text)).alias("value")).where("value is not null")
     if inside:
         elements = elements.unionByName(spark.createDataFrame([(x,) for x in inside], "value string").coalesce(1))
     return Layout(elements, found)

@@ -96,10 +96,10 @@ def by_lines(spark: SparkSession, path: str) -> Layout | None:
 
 def _elements(spark: SparkSession, path: str, kind: str, errors: str, lines: Layout | None) -> DataFrame:
     if lines:
-        some = lines.elements.where(_kind(F.col("value")) == kind)
-        rows = some.select(F.from_xml("value", _ROWS[kind], _OPTIONS).alias("e")).select("e.*")
+        some = lines.elements.select(F.when(_kind(F.col("value")) == kind, F.col("value")).alias("value")).where("value is not null")
+        rows = some.select(F.col("value").isNull().alias("_other"), F.from_xml("value", _ROWS[kind], _OPTIONS).alias("e")).select("_other", "e.*")
     else:
-        rows = _scan(spark, path, kind, _ROWS[kind])
+        rows = _scan(spark, path, kind, _ROWS[kind]).withColumn("_other", F.lit(False))
     entries = F.transform(F.coalesce("tag", F.expr("cast(array() as array<struct<_k:string,_v:string>>)")), lambda t: F.struct(t["_k"].alias("key"), t["_v"].alias("value")))
     numbers = {"id": "bigint", "version": "int", "changeset": "bigint", "uid": "int", "visible": "boolean"} | ({"lat": "double", "lon": "double"} if kind == "node" else {})
     out = {"type": F.lit(kind), "user": F.col("_user"), "timestamp": F.nullif("_timestamp", F.lit("")), "tags": last_wins(entries)} | {c: _number(f"_{c}", sql) for c, sql in numbers.items()}
@@ -113,7 +113,7 @@ def _elements(spark: SparkSession, path: str, kind: str, errors: str, lines: Lay
         out["members"] = F.coalesce(F.transform("member", member), F.expr("cast(array() as array<struct<type:string,ref:bigint,role:string>>)"))
         wrong.append(F.when(some("member", lambda m: _number(m["_ref"], "bigint").isNull() | ~F.coalesce(F.nullif(m["_type"], F.lit("")), F.lit("node")).isin(*TYPES)), F.lit("a bad member")))
     missing = out["id"].isNull() | (out["lat"].isNull() | out["lon"].isNull() if kind == "node" else F.lit(False))
-    error = F.coalesce(*wrong, F.when(missing, F.lit("no id or coordinates")))
+    error = F.when(~F.col("_other"), F.coalesce(*wrong, F.when(missing, F.lit("no id or coordinates"))))
     rows = rows.select(*(c.alias(n) for n, c in out.items()), error.alias("_error"))
     if errors == "drop":
         return rows.where("_error is null").drop("_error")

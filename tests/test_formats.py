@@ -217,6 +217,16 @@ def test_json_document_splits(spark, elements, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("fmt", ["json", "overpass", "xml"])
+def test_conditions_on_elements_by_lines(spark, elements, tmp_path, fmt):
+    """Conditions that Spark moves down to the lines are not tested on lines that are no elements."""
+    path = f"{tmp_path}/x.{'xml' if fmt == 'xml' else 'json'}"
+    sinks.write(elements.where("type = 'relation'").coalesce(1), path, fmt, META)
+    back, _ = registry.read_osm(spark, path)
+    assert back.select("id", F.posexplode("members").alias("i", "m")).count() == 2
+    assert back.where("type = 'node' or size(members) > 1 and version = 1").count() == 1
+
+
 def test_json_broken_documents(spark, tmp_path):
     node = '{"type":"node","id":%d,"lat":1,"lon":2}'
     two = (node % 1, node % 2)
