@@ -244,9 +244,8 @@ def _pbf_files(elements: DataFrame, path: str, dense: bool = True) -> None:
         with system.open_output_stream(temporary) as f:
             f.write(pbf_encode.header())
             for b in batches:
-                rows = b.to_pylist()
-                for i in range(0, len(rows), 8000):
-                    f.write(pbf_encode.block([r | {"tags": dict(r["tags"])} for r in rows[i : i + 8000]], dense))
+                for i in range(0, b.num_rows, 8000):
+                    f.write(pbf_encode.blocks(b.slice(i, 8000), dense))
         system.move(temporary, f"{where}/{task.partitionId()}.osm.pbf")
         yield from ()
 

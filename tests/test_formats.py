@@ -130,6 +130,29 @@ def test_pbf(spark, elements, tmp_path, dense, compress):
         assert {k: v for k, v in a.items() if k not in ("lat", "lon")} == {k: v for k, v in b.items() if k not in ("lat", "lon")}
 
 
+@pytest.mark.parametrize("dense", [True, False])
+def test_pbf_by_columns(monkeypatch, dense):
+    """Elements without metadata are encoded and decoded by whole columns, not one by one, and are the same; a key that comes twice is left to rows."""
+    import pyarrow as pa
+
+    rows = [{"type": t, "id": i, "tags": tags, "lat": i / 7 if t == "node" else None, "lon": -i / 3 if t == "node" else None, "nodes": [i << 40, -1, i][: i % 4] if t == "way" else None,
+             "members": [{"type": "way", "ref": -i, "role": "r"}, {"type": "node", "ref": 1 << 50, "role": ""}][: i % 3] if t == "relation" else None}
+            for i, (t, tags) in enumerate((t, tags) for t in ("node", "way", "relation") for tags in ([], [("a", "é"), ("", "")], [("k", "x" * 300)], []))]
+    types = dict(zip(ELEMENT.names, pbf._ARROW, strict=True))
+    batch = lambda rows: pa.RecordBatch.from_pylist(rows, pa.schema([(c, types[c]) for c in rows[0]]))
+    blob = lambda data: data[4 + int.from_bytes(data[:4], "big") :]
+    read = lambda data: [{c: r[c] for c in rows[0]} for b in pbf.decode(blob(data)) for r in b.to_pylist()]
+    by_rows = pbf_encode.block([r | {"tags": dict(r["tags"])} for r in rows], dense=False)
+    near = [r | ({"lat": pytest.approx(r["lat"], abs=1e-7), "lon": pytest.approx(r["lon"], abs=1e-7)} if r["type"] == "node" else {}) for r in rows]
+    assert read(by_rows) == near and read(pbf_encode.blocks(batch(rows), dense)) == near and read(pbf_encode.blocks(batch(rows).slice(3), dense)) == near[3:]
+    twice = [rows[5] | {"tags": [("a", "1"), ("b", "2"), ("a", "3")]}]
+    assert read(pbf_encode.blocks(batch(twice), dense)) == [twice[0] | {"tags": [("a", "3"), ("b", "2")]}]
+    for f in ("node", "dense", "way"):
+        monkeypatch.setattr(pbf._Block, f, None)
+    monkeypatch.setattr(pbf_encode, "block", None)
+    assert read(pbf_encode.blocks(batch(rows), dense)) == near
+
+
 def test_formats_by_name():
     assert registry.resolve(None, "a/b.osm.PBF") == "pbf" and registry.resolve("OSM", "x.json") == "xml" and registry.resolve("Overpass", None, output=True) == "overpass"
     for bad in (("overpass", None), (None, "x"), ("o5m", None), (None, None), (None, "a.b/c")):
