@@ -230,7 +230,11 @@ def relations_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pbf_files(elements: DataFrame, path: str, dense: bool = True) -> None:
-    """Executors encode a file for each partition."""
+    """Executors encode a file for each partition.
+
+    Batches to Python are bounded by their rows alone meanwhile: to bound bytes too, Spark sums up all vectors at each row, which takes longer than all else.
+    A block of 8,000 elements has to fit the 64 MiB of a blob anyway.
+    """
 
     def encode(batches):
         from pyarrow import fs
@@ -249,7 +253,16 @@ def _pbf_files(elements: DataFrame, path: str, dense: bool = True) -> None:
         system.move(temporary, f"{where}/{task.partitionId()}.osm.pbf")
         yield from ()
 
-    elements.mapInArrow(encode, "done int").count()
+    conf, limit = elements.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(limit, None)
+    conf.set(limit, str((1 << 31) - 1))
+    try:
+        elements.mapInArrow(encode, "done int").count()
+    finally:
+        if before is None:
+            conf.unset(limit)
+        else:
+            conf.set(limit, before)
 
 
 @query("pbf_read", f"WITH {EVENTS} SELECT type, id, lat, lon, {_TAGS} FROM e")
