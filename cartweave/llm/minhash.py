@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import components, cut, returning
+from .shared import components, cut, few, returning
 
 REGISTERS, MANTISSA, MISS = 320, 10, 4e-6
 BLOCK = 1024
@@ -207,12 +207,12 @@ def _confirmed(judged: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
             ok = [alike(unpacked(x, n), unpacked(y, m), percent) for n, m, x, y in zip(*columns, strict=True)]
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    judged = cut(judged)
+    judged = cut(few(judged))
     pairs = judged.where("not sure").select("a", "b")
     sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     a, b = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
     large = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(returning(run), "a long, b long")
-    return cut(judged.where("sure").select("a", "b").union(large))
+    return cut(few(judged.where("sure").select("a", "b").union(large)))
 
 
 def alike_small(minis: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
@@ -286,17 +286,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     """
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
-    sig = cut(signatures(docs, k))
+    sig = cut(few(signatures(docs, k)))
     # One body for each distinct set, summed on the map side.
     known = sig.where(F.col("doc_id").isNotNull() & (F.col("n") * (100 - percent) >= percent))
-    nodes = cut(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("body").alias("body")).select("id", "n", "body"))
+    nodes = cut(few(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("body").alias("body")).select("id", "n", "body")))
     sig = cut(sig.select("doc_id", "n", "d1", "d2"))  # without the bodies
     live = sig.where("n > 0 and doc_id is not null")
     copies = live.join(live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")), ["n", "d1", "d2"]).select("doc_id", "id")
 
     bands = _bands(nodes, threshold)
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bands = cut(bands.join(shared, "key"))
+    bands = cut(few(bands.join(shared, "key")))
     central = bands.groupBy("id").agg(F.sum("size").alias("weight"))
     lead = bands.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("lead")).select("key", (-F.col("lead.id")).alias("lead"))
     star = bands.join(lead, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
@@ -364,4 +364,4 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARKS)).alias("bit")
     sets = docs.where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(returning(run), "id long, n long, s binary")
-    return cut(sets.join(ids, "id", "left_semi"))
+    return cut(few(sets.join(ids, "id", "left_semi")))

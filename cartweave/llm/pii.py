@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, set_apart
+from .shared import cut, few, set_apart
 
 KINDS = ("email", "ip", "card", "phone", "context")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -207,25 +207,25 @@ def learnt_contexts(occurrences: DataFrame, words: DataFrame) -> DataFrame:
     What can't be trusted whatever is believed, for want of different instances or as its words are too common, is left out first. A
     pattern once trusted stays so, hence rounds end; the last adds none.
     """
-    edges = cut(occurrences.groupBy("context", "value").agg(F.count("*").alias("w"), F.max("seed").alias("seed")))
-    many = cut(edges.groupBy("context").agg(F.count("*").alias("values"), F.sum("w").alias("w")).where(F.col("values") >= SUPPORT).select("context", "w"))
+    edges = cut(few(occurrences.groupBy("context", "value").agg(F.count("*").alias("w"), F.max("seed").alias("seed"))))
+    many = cut(few(edges.groupBy("context").agg(F.count("*").alias("values"), F.sum("w").alias("w")).where(F.col("values") >= SUPPORT).select("context", "w")))
     parts = F.split("context", " ")
     anchors = F.when(F.col("context").rlike("^[2t]"), F.slice(parts, 2, 2)).when(F.col("context").rlike("^g"), _none("array<string>")).otherwise(F.slice(parts, 2, 1))
     rarest = many.select("context", F.explode(anchors).alias("word")).join(words, "word").groupBy("context").agg(F.min("n").alias("n"))
     per = many.join(rarest, "context", "left").select("context", (F.greatest("w", F.coalesce("n", F.lit(0))) + 1).alias("of"), "w")
-    per = cut(per.where(F.col("w") >= CONFIDENCE * F.col("of")).drop("w"))
-    live = cut(edges.join(per, "context"))
+    per = cut(few(per.where(F.col("w") >= CONFIDENCE * F.col("of")).drop("w")))
+    live = cut(few(edges.join(per, "context")))
     belief = live.where("seed").select("value").distinct().withColumn("belief", F.lit(ONE).cast("long"))
     trusted, before = None, 0
     while True:
         known = live.join(belief, "value", "left").groupBy("context", "of").agg(F.sum(F.col("w") * F.coalesce("belief", F.lit(0))).alias("sum"), F.count("belief").alias("support"))
         known = known.withColumn("score", F.floor(F.col("sum") / F.col("of")))
-        trusted = cut(known.where((F.col("support") >= SUPPORT) & (F.col("score") >= CONFIDENCE * ONE)).select("context", "score"))
+        trusted = cut(few(known.where((F.col("support") >= SUPPORT) & (F.col("score") >= CONFIDENCE * ONE)).select("context", "score")))
         if (n := trusted.count()) == before:
             return trusted
         before = n
         said = live.join(trusted, "context", "left").groupBy("value").agg(F.max(F.when(F.col("seed"), F.lit(ONE).cast("long")).otherwise(F.col("score"))).alias("belief"))
-        belief = cut(said.where("belief is not null"))
+        belief = cut(few(said.where("belief is not null")))
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -37,16 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows from reliable storage; executors that are lost later don't matter.
+#: Files that ``few`` leaves: so many for each core, or one for so many shuffle partitions if that is more.
+FILES_PER_CORE, PARTITIONS_PER_FILE = 4, 8
+
+
+def few(frame: DataFrame) -> DataFrame:
+    """The same rows in fewer partitions, without a shuffle; for steps that don't go by the number of their partition.
 
-    Shuffle files of plans that are no longer needed are deleted when the driver collects its garbage, which a driver with memory
-    to spare puts off for long; so it is asked to.
+    For each file that is written Hadoop starts two processes (chmod of the file and of its checksums) where it has no native library, and until
+    such a process has its own image it counts as a second copy of the executor. The number of partitions follows that of a shuffle, so that tasks don't grow with the data.
     """
+    spark = frame.sparkSession
+    return frame.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_FILE))
+
+
+def swept(spark: SparkSession) -> None:
+    """Shuffle files of plans that are no longer needed are deleted when the driver collects its garbage, which a driver with memory
+    to spare puts off for long; so it is asked to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows from reliable storage; executors that are lost later don't matter."""
     shared_dir(frame.sparkSession)
     out = frame.checkpoint(eager=True)
-    gc.collect()
-    frame.sparkSession.sparkContext._jvm.System.gc()
+    swept(frame.sparkSession)
     return out
 
 
@@ -110,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps; both only need the smallest neighbour of each node, which is summed on the map
     side, so a hub with millions of links is no hot key. Ends when a round changes nothing.
     """
-    state = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = cut(few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()))
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(state)
     while before[0]:
@@ -119,7 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
-        state = cut(small)
+        state = cut(few(small))
         after = mark(state)
         if after == before:
             break

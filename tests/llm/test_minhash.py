@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from cartweave.llm import minhash
+from cartweave.llm import minhash, shared
 from cartweave.llm.shared import components
 
 
@@ -152,3 +152,22 @@ def test_components(spark):
     lonely = {a for a, b in edges if a == b} - {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: find(x) for x in root if x not in lonely}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_files(spark, frame, prose, monkeypatch):
+    """What is cut has a file for several shuffle partitions, with the same results, where these are many and small."""
+    seen, rows = [], [(i, prose(i // 2, 60)) for i in range(40)]
+    want = sorted(map(tuple, minhash.near_duplicates(frame(rows)).collect()))
+    monkeypatch.setattr(shared, "FILES_PER_CORE", 0)
+    for module in (minhash, shared):
+        monkeypatch.setattr(module, "cut", lambda f, cut=module.cut: seen.append(out := cut(f)) or out)
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert sorted(map(tuple, minhash.near_duplicates(frame(rows)).collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(seen) > 8 and max(x.rdd.getNumPartitions() for x in seen) <= 24 // shared.PARTITIONS_PER_FILE
