@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from . import text as T
-from .shared import cut, returning, set_apart
+from .shared import cut, returning, set_apart, swept
 
 HALF = 64
 SIZE = HALF * HALF
@@ -125,8 +125,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def forward(m: dict[str, np.ndarray], x: np.ndarray, high: np.ndarray):
-    """Hidden states of both halves (a row for each token), and their distributions (a column for each)."""
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each column the logarithm of the softmax at one place; all others need not be divided."""
+    x -= x.max(0)
+    own = x[at, np.arange(len(at))]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(0))
+
+
+def _logits(m: dict[str, np.ndarray], x: np.ndarray, high: np.ndarray):
+    """Hidden states of both halves (a row for each token), and their logits (a column for each)."""
     table = m["e"].reshape(-1, WIDTH)
     h = table.take(x[:, 0], 0)
     for k in range(1, x.shape[1]):
@@ -137,24 +145,21 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, high: np.ndarray):
     g = h + m["c"].take(high, 0)
     q = m["b"].T @ g.T
     q += m["b0"].T[:, high]
-    return h, _softmax(p), g, _softmax(q)
+    return h, p, g, q
 
 
-def sums(values: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, sums of the columns of values that have each, their numbers). Keys below 2 ** 15 are sorted by radix."""
-    order = np.argsort(key.astype(np.int16), kind="stable")
-    key = key[order]
-    new = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[new], np.add.reduceat(values.take(order, 1), new, 1), np.diff(new, append=len(key))
+def forward(m: dict[str, np.ndarray], x: np.ndarray, high: np.ndarray):
+    """Hidden states of both halves (a row for each token), and their distributions (a column for each)."""
+    h, p, g, q = _logits(m, x, high)
+    return h, _softmax(p), g, _softmax(q)
 
 
 def log_probabilities(m: dict[str, np.ndarray], token: np.ndarray, x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(token))
+    out, least = np.empty(len(token)), np.float32(math.log(1e-30))
     for i in range(0, len(token), BATCH):
         high, low = np.divmod(token[i : i + BATCH], HALF)
-        _, p, _, q = forward(m, x[i : i + BATCH], high)
-        rows = np.arange(len(high))
-        out[i : i + BATCH] = np.log(np.maximum(p[high, rows], 1e-30)) + np.log(np.maximum(q[low, rows], 1e-30))
+        _, p, _, q = _logits(m, x[i : i + BATCH], high)
+        out[i : i + BATCH] = np.maximum(_log_softmax_at(p, high), least) + np.maximum(_log_softmax_at(q, low), least)
     return out
 
 
@@ -170,6 +175,8 @@ class Trainer:
 
     def step(self, token: np.ndarray, x: np.ndarray) -> None:
         m, s, n = self.m, self.s, len(token)
+        order = np.argsort(token.astype(np.int16), kind="stable")  # equal first halves stand together; of 16 bits: sorted by radix
+        token, x = token[order], x[order]
         high, low = np.divmod(token, HALF)
         rows = np.arange(n)
         h, p, g, q = forward(m, x, high)
@@ -177,9 +184,10 @@ class Trainer:
         q[low, rows] -= 1
         dg = m["b"] @ q
         dh = (m["a"] @ p + dg).T * (1 - h * h)
-        halves, by_half, count = sums(np.concatenate([dg, q]), high)
+        new = np.flatnonzero(np.diff(high, prepend=-1))
+        halves, count = high[new], np.diff(new, append=n)
         dc, db0 = np.zeros_like(m["c"]), np.zeros_like(m["b0"])
-        dc[halves], db0[halves] = by_half[:WIDTH].T, by_half[WIDTH:].T
+        dc[halves], db0[halves] = np.add.reduceat(dg, new, 1).T, np.add.reduceat(q, new, 1).T
         for k, d in (("a", (p @ h).T), ("a0", p.sum(1)), ("b", (q @ g).T), ("c", dc), ("b0", db0)):
             d = d / n + L2 * m[k]
             s[k] += d * d
@@ -311,6 +319,7 @@ def train_coded(code: DataFrame, tokens: int) -> np.ndarray:
     for r in range(ROUNDS):
         own = dealt.where(F.pmod("deal", F.lit(ROUNDS)) == r).withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
         x, s = _round(own, shards, x, s)
+        swept(code.sparkSession)  # what the round has shuffled need not lie there while texts are scored
     return x
 
 
@@ -385,35 +394,43 @@ def score_coded(code: DataFrame, own: np.ndarray, parameters: np.ndarray, counts
     keep = [f for f in code.schema.fields if f.name not in ("block", "row", "deal", "numbers", "places", "words")]
     names = [f.name for f in keep]
     own_shares = counts is not None
-    schema = Y.StructType([*keep, Y.StructField("n_tokens", Y.LongType()), Y.StructField("log_likelihood", Y.DoubleType())])
+    results = [Y.StructField("n_tokens", Y.LongType()), Y.StructField("log_likelihood", Y.DoubleType())]
+    places = [code.schema[c] for c in ("block", "row", "places")] if own_shares else []
+    judged, schema = Y.StructType([*places, *keep, *results]), Y.StructType([*keep, *results])
 
-    def run(batches):
-        m, block, shares = shaped(parameters), None, np.zeros(0, np.float32)
+    def by_network(batches):
+        m = shaped(parameters)
+        for b in batches:
+            docs = [_unpack(x, "<u2") for x in b.column("numbers").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in judged.names[:-2]), pa.array([len(x) for x in docs], pa.int64()), pa.array(_scored(docs, m))], judged.names)
+
+    def with_shares(batches):
+        block, shares = None, np.zeros(0, np.float32)
         for b in batches:
-            docs, within, rows = [], [], []
-            parts = (b.column(c).to_pylist() for c in ("block", "row", "numbers", "places"))
-            for i, (name, row, numbers_, places) in enumerate(zip(*parts, strict=True)):
+            within, rows = [], []
+            parts = (b.column(c).to_pylist() for c in ("block", "row", "places"))
+            for i, (name, row, places) in enumerate(zip(*parts, strict=True)):
                 if row < 0:
                     block, shares = name, b.column("shares")[i].values.to_numpy()
                     continue
                 rows.append(i)
-                docs.append(_unpack(numbers_, "<u2"))
-                at = _unpack(places, "<u4") if own_shares else ()
+                at = _unpack(places, "<u4")
                 if len(at) and (name != block or at.max() >= len(shares)):
                     raise ValueError(f"block {name} lacks shares of its words")
                 within.append(float(shares[at].sum(dtype=np.float64)) if len(at) else 0.0)
-            out = b.select(names).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([len(x) for x in docs], pa.int64()), pa.array(_scored(docs, m) + np.array(within))], schema.names)
+            out = b.select(schema.names).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(out.column("log_likelihood").to_numpy() + np.array(within))], schema.names)
 
-    docs = code.where("row >= 0").select("block", "row", *names, "numbers", "places")
+    # The network needs no shares, so the numbers of the texts stay where they are; only places of other words go to their blocks' shares.
+    docs = code.where("row >= 0").select(*(f.name for f in places), *names, "numbers").mapInArrow(returning(by_network), judged)
     if not own_shares:
-        return docs.mapInArrow(returning(run), schema)
+        return docs
     words = code.where("row < 0").select("block", F.explode("words").alias("word"))
     shares = words.join(log_shares(counts, own), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", F.col("log_share").cast("float").alias("log_share")))).alias("s"))
     shares = shares.select("block", F.lit(-1).alias("row"), F.col("s.log_share").alias("shares"))
     tasks = tasks or int(code.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = docs.unionByName(shares, allowMissingColumns=True).repartition(tasks, "block").sortWithinPartitions("block", "row")
-    return both.mapInArrow(returning(run), schema)
+    return both.mapInArrow(returning(with_shares), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

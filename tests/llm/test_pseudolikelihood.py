@@ -156,3 +156,18 @@ def test_small_tables(frame, with_clashes, own_columns):
     assert P.report(frame([])).collect() == []
     assert [tuple(r) for r in P.report(frame([(1, None)])).collect()] == [(1, 0, 0.0, None)]
     own_columns(P.score(with_clashes(frame([(1, "a b"), (2, None)])), np.zeros(0, np.int64), P.flat(P.start())), but={"n_tokens"})
+
+
+def test_numbers_stay(frame, corpus):
+    """Of coded texts only the places of words without numbers of their own are shuffled; probabilities are those of the distributions."""
+    docs = frame(corpus)
+    counts = P.count_words(docs)
+    own, m = P.most_frequent(counts), P.flat(P.start())
+    code = P.cut(P.coded(docs, own))
+    plan = P.score_coded(code, own, m, counts)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression") :]
+    assert "MapInArrow" in dealt and "numbers" not in dealt.split("MapInArrow")[0]
+    token, x = np.arange(P.SIZE), np.random.default_rng(2).integers(0, P.SIZE + 1, (P.SIZE, 2 * P.SIDE))
+    high, low = np.divmod(token, P.HALF)
+    _, p, _, q = P.forward(P.start(), x, high)
+    assert P.log_probabilities(P.start(), token, x) == pytest.approx(np.log(p[high, token]) + np.log(q[low, token]), abs=1e-5)
